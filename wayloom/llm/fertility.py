@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayloom.llm.words import INNER, SPACE, blocks, grams, hash_spans, inside, mix, run_sums, spans
 
@@ -114,52 +115,74 @@ def _script(text: str) -> str:
     return "latin" if 2 * latin >= letters else "other"
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
-                    bands: dict[str, Band] | None = None, min_words: int = 10, max_repeat: float = 0.2) -> DataFrame:
-    """doc_id, the counts, the measures, base_failed and kept, a row for each row of ``docs`` (doc_id, text, lang)."""
-    bands = BANDS if bands is None else bands
-    with open(vocabulary, "rb") as f:
-        packed = f.read()  # under 1 MB, the same at every size
+class Rules:
+    """The rules with a vocabulary, as sent to executors (the packed vocabulary is under 1 MB, the same at every size)."""
 
-    def run(batches):
+    def __init__(self, vocabulary: str = VOCABULARY, pattern: str = PATTERN, bands: dict[str, Band] | None = None, min_words: int = 10, max_repeat: float = 0.2):
+        with open(vocabulary, "rb") as f:
+            self.packed = f.read()
+        self.pattern, self.bands, self.min_words, self.max_repeat = pattern, BANDS if bands is None else bands, min_words, max_repeat
+        self.coder = None
+
+    def load(self) -> None:
         import tiktoken
 
-        ranks = {base64.b64decode(k): int(v) for k, v in (x.split() for x in packed.splitlines() if x)}
-        coder = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        partial = np.zeros(max(ranks.values()) + 1, bool)
+        ranks = {base64.b64decode(k): int(v) for k, v in (x.split() for x in self.packed.splitlines() if x)}
+        self.coder = tiktoken.Encoding("fertility", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.partial = np.zeros(max(ranks.values()) + 1, bool)
         for piece, rank in ranks.items():
             try:
                 piece.decode()
             except UnicodeDecodeError:
-                partial[rank] = True
+                self.partial[rank] = True
+
+    def judge(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        """An array for each of FIELDS."""
+        if self.coder is None:
+            self.load()
+        lang = batch.column("lang").to_pylist()
+        parts: list[list[np.ndarray]] = [[np.zeros(0)] for _ in FIELDS]
+        for i, j, a, off in blocks(batch.column("text")):
+            c = base_counts(a, off)
+            n_tokens, cpt, share, entropy, good = (np.zeros(j - i) for _ in range(5))
+            for k in range(j - i):
+                text = a[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace")
+                if not text:
+                    continue
+                ids = self.coder.encode_to_numpy(text)
+                p = np.unique(ids, return_counts=True)[1] / len(ids)
+                n_tokens[k], cpt[k], share[k] = len(ids), len(text) / len(ids), self.partial[ids].mean()
+                entropy[k] = -(p * np.log2(p)).sum()
+                band = self.bands.get(lang[i + k]) or self.bands[_script(text)]
+                even = entropy[k] / min(10.0, np.log2(len(ids))) if len(ids) > 1 else 0.0
+                good[k] = band.least <= cpt[k] <= band.most and share[k] <= band.fallback and even >= band.evenness
+            failed = (c["n_words"] < self.min_words) | (c["n_repeat_words"] > self.max_repeat * c["n_words"])
+            own = [c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"], n_tokens, cpt, share, entropy, failed, ~failed & (good > 0)]
+            for x, y in zip(parts, own, strict=True):
+                x.append(y)
+        return [np.concatenate(x).astype(kind.to_pandas_dtype()) for x, (_, kind) in zip(parts, FIELDS, strict=True)]
+
+
+def fertility_rules(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """doc_id, the counts, the measures, base_failed and kept: a row for each row of ``docs`` (doc_id, text, lang)."""
+    rules = rules or Rules()
+
+    def run(batches):
         for batch in batches:
-            lang = batch.column("lang").to_pylist()
-            parts: list[list[np.ndarray]] = [[] for _ in FIELDS]
-            for i, j, a, off in blocks(batch.column("text")):
-                c = base_counts(a, off)
-                n_tokens, cpt, share, entropy, good = (np.zeros(j - i) for _ in range(5))
-                for k in range(j - i):
-                    text = a[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace")
-                    if not text:
-                        continue
-                    ids = coder.encode_to_numpy(text)
-                    count = np.unique(ids, return_counts=True)[1]
-                    p = count / len(ids)
-                    n_tokens[k], cpt[k], share[k] = len(ids), len(text) / len(ids), partial[ids].mean()
-                    entropy[k] = -(p * np.log2(p)).sum()
-                    band = bands.get(lang[i + k]) or bands[_script(text)]
-                    even = entropy[k] / min(10.0, np.log2(len(ids))) if len(ids) > 1 else 0.0
-                    good[k] = band.least <= cpt[k] <= band.most and share[k] <= band.fallback and even >= band.evenness
-                failed = (c["n_words"] < min_words) | (c["n_repeat_words"] > max_repeat * c["n_words"])
-                own = [c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"],
-                       n_tokens.astype(np.int64), cpt, share, entropy, failed, ~failed & (good > 0)]
-                for x, y in zip(parts, own, strict=True):
-                    x.append(y)
-            if not batch.num_rows:
-                continue
-            cols = [pa.array(np.concatenate(x).astype(kind.to_pandas_dtype()), kind) for x, (_, kind) in zip(parts, FIELDS, strict=True)]
+            cols = [pa.array(x, kind) for x, (_, kind) in zip(rules.judge(batch), FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *(n for n, _ in FIELDS)])
 
     kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean"}
     schema = "doc_id long, " + ", ".join(f"{n} {kinds[k]}" for n, k in FIELDS)
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text"), docs.lang.cast("string").alias("lang")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns (text and lang are strings)."""
+    rules = rules or Rules()
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(rules.judge(batch)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,12 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"))
 
 
+def op2_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm.oddsketch import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayloom.llm.fertility import fertility_rules
 
@@ -29,6 +35,18 @@ def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm.ngramlm import ngram_scores
+
+    return ngram_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayloom.llm.leaks import leaked_passages
 
@@ -41,6 +59,18 @@ def op8_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_ordinal_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm.ordinal import graded, ordinal_quality
+
+    return ordinal_quality(_table(spark, sf_dir, "documents"), graded(_table(spark, sf_dir, "labels")))
+
+
+def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm.suffixes import drop_repeats
+
+    return drop_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
