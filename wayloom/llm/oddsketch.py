@@ -9,14 +9,15 @@ times the intersection is at least 85 times the union.
    of two sketches and its population count estimates how many differ), and a
    128-bit fingerprint. Equal fingerprints are one class; the class's smallest
    doc_id stands for it from here on.
-2. A bucket (band key) names two hubs, its smallest and largest member, and
-   every member is compared with them: linear in the bucket, not quadratic.
-   Pairs whose odd sketches are decisively apart go; the others are confirmed on
-   the full sets, which are built anew for just these texts.
+2. A bucket (band key) names a hub, the member that shares the most with
+   others, and every member is compared with it: linear in the bucket, not
+   quadratic. Pairs whose odd sketches are decisively apart go; the others are
+   confirmed on the full sets, which are built anew for texts in shared buckets.
 3. Links become components. A bucket whose members lie in several components
    still has untested pairs: its members outside its largest component are
-   compared with all the others. Where that would be much more than the buckets'
-   own size, rounds with other hubs come first.
+   compared with all the others, by size and sketch within the join, so that only
+   likely links leave it. Where that would be far more than the buckets' own
+   size, rounds with other hubs come first.
 
 All pairs that share a band are so either tested, or already in one component
 through tested links. A pair at exactly the threshold shares none of 24 bands of 4 with
@@ -133,102 +134,99 @@ def _set_rows(batches):
             yield out()
 
 
-class _Links:
-    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch):
-        self.docs, self.reps, self.scratch, self.n = docs, reps, scratch, 0
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) of distinct representatives that are linked."""
-        self.n += 1
-        s = self.reps.select("rep", "n", "odd")
-        a = s.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("ox"))
-        b = s.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("odd").alias("oy"))
-        differ = sum((F.bit_count(F.col("ox")[k].bitwiseXOR(F.col("oy")[k])) for k in range(BITS // 64)), F.lit(0))
-        near = (pairs.join(a, "x").join(b, "y")
-                .where(LINK[1] * F.least("nx", "ny") >= LINK[0] * F.greatest("nx", "ny"))
-                .where(differ <= sketch_limit()).select("x", "y"))
-        near = self.scratch.cut(near, f"near{self.n}")
-        ids = near.select(F.col("x").alias("doc_id")).union(near.select(F.col("y").alias("doc_id"))).distinct()
-        wanted = self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-        sets = self.scratch.cut(wanted.select("doc_id", "text").mapInArrow(_set_rows, "id long, shingles array<long>"), f"sets{self.n}")
-        sx = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
-        sy = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-        both = F.size(F.array_intersect("sx", "sy"))
-        linked = (near.join(sy, "y").join(sx, "x").withColumn("both", both)
-                  .where(LINK[1] * F.col("both") >= LINK[0] * (F.size("sx") + F.size("sy") - F.col("both"))).select("x", "y").distinct())
-        linked = self.scratch.cut(linked, f"links{self.n}")
-        self.scratch.drop(f"sets{self.n}")
-        return linked
-
-
-def _ordered(x, y, df: DataFrame) -> DataFrame:
-    return df.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x <> y").distinct()
-
-
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rounds: int = 6, effort: int = 8) -> DataFrame:
+def _apart() -> F.Column:
+    """In how many bits the odd sketches of two sides differ."""
+    return sum((F.bit_count(F.col("ox")[k].bitwiseXOR(F.col("oy")[k])) for k in range(BITS // 64)), F.lit(0))
+
+
+def _may_link() -> F.Column:
+    """Sizes and sketches allow a link; columns nx, ny, ox, oy."""
+    return (LINK[1] * F.least("nx", "ny") >= LINK[0] * F.greatest("nx", "ny")) & (_apart() <= sketch_limit())
+
+
+def _confirmed(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose full sets are linked."""
+    sx = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
+    sy = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
+    both = near.join(sy, "y").join(sx, "x").withColumn("both", F.size(F.array_intersect("sx", "sy")))
+    return both.where(LINK[1] * F.col("both") >= LINK[0] * (F.size("sx") + F.size("sy") - F.col("both"))).select("x", "y").distinct()
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rounds: int = 6, effort: int = 50) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs`` (doc_id, text).
 
-    ``effort``: other hubs are tried while the pairs left to test outnumber the
-    buckets' members by more than this factor.
+    ``effort``: rounds with other hubs come first while the pairs left to look at
+    outnumber the buckets' members by more than this factor.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = scratch.cut(docs.mapInArrow(_sketch_rows, "doc_id long, n long, f1 long, f2 long, bands array<long>, odd array<long>"), "sig")
     some = sig.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.cut(classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), "classes")
-    member = sig.select("doc_id", "n", "f1", "f2").join(classes, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    member = scratch.cut(member.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "member")
-    reps = some.join(classes.select(F.col("rep").alias("doc_id"), F.col("g1").alias("f1"), F.col("g2").alias("f2")), ["doc_id", "f1", "f2"], "left_semi")
-    reps = scratch.cut(reps.select(F.col("doc_id").alias("rep"), "n", "bands", "odd"), "reps")
+    classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")).select(F.xxhash64("f1", "f2").alias("k"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep")
+    placed = sig.withColumn("k", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("f1", "f2")))
+    placed = placed.join(classes, (placed["k"] == classes["k"]) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
+    first = F.col("rep") == F.col("doc_id")
+    member = scratch.cut(placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("odd")).alias("odd")), "member")
     scratch.drop("sig")
+    reps = member.where("bands is not null")
+    member = member.select("doc_id", "n_shingles", "rep")
     rows = reps.select("rep", F.explode("bands").alias("b"))
-    hubs = rows.groupBy("b").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    hubs = hubs.select(F.xxhash64("b").alias("k"), F.col("b").alias("hb"), "lo", "hi")
-    shared = rows.withColumn("k", F.xxhash64("b")).join(hubs, "k").where("b = hb").select("b", "rep", "lo", "hi")
-    shared = scratch.cut(shared, "shared")
+    held = rows.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    held = held.select(F.xxhash64("b").alias("k"), F.col("b").alias("hb"), "m")
+    shared = scratch.cut(rows.withColumn("k", F.xxhash64("b")).join(held, "k").where("b = hb").select("b", "rep", "m"), "shared")
     n_shared = shared.count()
-    member = member.select("doc_id", F.col("n").alias("n_shingles"), "rep")
+
+    def result(label: DataFrame | None) -> DataFrame:
+        out = member.withColumn("component", F.col("rep")) if label is None else member.join(label.withColumnRenamed("id", "rep"), "rep", "left")
+        component = F.coalesce("component", "rep")
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
     if not n_shared:
-        return member.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
-    links = _Links(docs, reps, scratch)
-    pairs = scratch.cut(_ordered("rep", "hub", shared.select("rep", F.explode(F.array("lo", "hi")).alias("hub"))), "pairs")
-    tested, edges = pairs, links.confirmed(pairs)
-    shared = shared.select("b", "rep")
+        return result(None)
+    # what a text shares with how many others: a text in the middle of its copies has the most
+    weight = shared.groupBy("rep").agg(F.sum("m").alias("w"))
+    known = scratch.cut(reps.select("rep", F.col("n_shingles").alias("n"), "odd").join(weight, "rep"), "known")
+    wanted = known.select(F.col("rep").alias("doc_id")).hint("shuffle_hash")
+    sets = scratch.cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, shingles array<long>"), "sets")
+    shared = shared.select("b", "rep").join(known, "rep")
+    hubs = shared.groupBy("b").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("h")).select(F.xxhash64("b").alias("k"), F.col("b").alias("hb"), (-F.col("h.r")).alias("hub"))
+    pairs = shared.select("b", "rep").withColumn("k", F.xxhash64("b")).join(hubs, "k").where("b = hb and rep <> hub").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
+    side = lambda i: known.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("odd").alias(f"o{i}"))
+    near = pairs.join(side("x"), "x").join(side("y"), "y").where(_may_link()).select("x", "y")
+    tested = near = scratch.cut(near, "near")
+    edges = scratch.cut(_confirmed(near, sets), "links")
+    label = None
     for k in range(max_hub_rounds + 1):
         label = scratch.cut(connected_components(spark, edges, "x", "y", scratch), f"label{k}")
-        placed = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("b", "rep", F.coalesce("component", "rep").alias("c"))
-        held = placed.groupBy("b", "c").agg(F.count(F.lit(1)).alias("m"))
-        bucket = held.groupBy("b").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("big")).where("parts > 1")
-        bucket = scratch.cut(bucket.select(F.col("b").alias("ob"), "all", F.col("big.m").alias("most"), F.col("big.c").alias("top")), f"open{k}")
-        left = bucket.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs")).first().pairs or 0
+        in_parts = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("b", "rep", "n", "odd", "w", "c")
+        part = in_parts.groupBy("b", "c").agg(F.count(F.lit(1)).alias("m"))
+        bucket = part.groupBy("b").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("big")).where("parts > 1")
+        bucket = bucket.select(F.xxhash64("b").alias("k"), F.col("b").alias("ob"), F.col("big.c").alias("top"), ((F.col("all") - F.col("big.m")) * F.col("all")).alias("pairs"))
+        rest = scratch.cut(in_parts.withColumn("k", F.xxhash64("b")).join(bucket, "k").where("b = ob").drop("k", "ob"), f"open{k}")
+        left = rest.groupBy("b").agg(F.max("pairs").alias("pairs")).agg(F.sum("pairs").alias("pairs")).first().pairs or 0
         if not left:
             break
-        open_rows = scratch.cut(placed.join(bucket, F.col("b") == F.col("ob")).select("b", "rep", "c", "top"), f"openrows{k}")
         last = k == max_hub_rounds or left <= effort * n_shared
+        cols = [F.col("b").alias("b1"), F.col("rep").alias("r1"), F.col("c").alias("c1"), F.col("n").alias("nx"), F.col("odd").alias("ox")]
         if last:
-            one = open_rows.where("c <> top").select(F.col("b").alias("b1"), F.col("rep").alias("r1"), F.col("c").alias("c1"))
-        else:
-            one = open_rows.groupBy("b").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "c")).alias("h"))
-            one = one.select(F.col("b").alias("b1"), F.col("h.rep").alias("r1"), F.col("h.c").alias("c1"))
-        more = one.join(open_rows, (F.col("b1") == F.col("b")) & (F.col("c1") != F.col("c")))
-        more = scratch.cut(_ordered("r1", "rep", more).join(tested, ["x", "y"], "left_anti"), f"more{k}")
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        tested = tested.union(more)
-        new = links.confirmed(more)
-        found = not new.isEmpty()
-        edges = edges.union(new)
-        if last:
-            if found:
+            one = rest.where("c <> top").select(*cols)
+        else:  # the next hub of a bucket: of those outside its largest part the one with the most in common
+            pick = rest.where("c <> top").groupBy("b").agg(F.max(F.struct("w", F.xxhash64("rep", F.lit(k)).alias("r"), "rep")).alias("h")).select(F.col("b").alias("pb"), F.col("h.rep").alias("pr"))
+            one = rest.join(pick, (F.col("b") == F.col("pb")) & (F.col("rep") == F.col("pr"))).select(*cols)
+        other = rest.select(F.xxhash64("b").alias("k"), "b", "rep", "c", F.col("n").alias("ny"), F.col("odd").alias("oy"))
+        on = (F.col("k1") == F.col("k")) & (F.col("b1") == F.col("b")) & (F.col("c1") != F.col("c")) & _may_link()
+        more = one.withColumn("k1", F.xxhash64("b1")).join(other, on).select(F.least("r1", "rep").alias("x"), F.greatest("r1", "rep").alias("y")).distinct()
+        more = scratch.cut(more.join(tested, ["x", "y"], "left_anti"), f"more{k}")
+        if not more.isEmpty():
+            tested = tested.union(more)
+            new = scratch.cut(_confirmed(more, sets), f"links{k}")
+            edges = edges.union(new)
+            if last and not new.isEmpty():
                 label = scratch.cut(connected_components(spark, edges, "x", "y", scratch), "label-last")
+        if last:
             break
-    out = member.join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return result(label)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
