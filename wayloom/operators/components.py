@@ -29,6 +29,13 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return (edges.withColumn("k", F.xxhash64("u")).join(least, "k").where(F.col("u") == F.col("u2")).select("u", "v", "m"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex is either a centre or has exactly one edge, to its centre."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select("u", one.alias("out"), none.alias("in")).union(edges.select("v", none, one))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)").isEmpty()
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str = "dst",
                          scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that occurs in ``edges``.
@@ -38,26 +45,22 @@ def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src"
     """
     scratch = scratch or Scratch(spark, "components")
     named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    loops = named.where("u = v").select("u", "v").distinct()
+    loops = named.where("u = v").select("u", "v")
     now = named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = scratch.cut(now, "edges"), None
-    loops = scratch.cut(loops, "loops")
-    keep: list[str] = []
+    last = None
     for k in range(max_rounds):
         large = (_with_least(_both(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         star = _with_least(large)
         small = (star.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        name = f"stars{k}"
+        name = f"stars{scratch.n}"
         now = scratch.cut(small, name)
-        keep.append(name)
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if len(keep) > 1:
-            scratch.drop(keep.pop(0))
-        if (seen.n, seen.h) == before:
+        if last:
+            scratch.drop(last)
+        last = name
+        if _are_stars(now):
             break
-        before = (seen.n, seen.h)
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -269,6 +269,10 @@ def _area(x: list[float], y: list[float]) -> float:
     return abs(sum(x[i] * y[(i + 1) % len(x)] - x[(i + 1) % len(x)] * y[i] for i in range(len(x)))) / 2
 
 
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"node_id": pd.Series([], dtype="int64"), "cp_ids": pd.Series([], dtype="object"), "area": pd.Series([], dtype="float64")})
+
+
 def _nearest(seeds: DataFrame, points: DataFrame, radius: float, k: int) -> DataFrame:
     near = range_join(seeds, points, radius, "sx", "sy", "x", "y")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("node_id").orderBy("dist", "cp_id"))).where(F.col("rank") <= k)
@@ -282,7 +286,7 @@ def four_legs(seeds: DataFrame, points: DataFrame, radius: float = 28.0, area: t
         hull = hull_indices(x, y) if len(pdf) == 8 else []
         hx, hy = [x[i] for i in hull], [y[i] for i in hull]
         good = len(hull) == 8 and all(angles[0] <= a <= angles[1] for a in _interior_angles(hx, hy)) and area[0] <= _area(hx, hy) <= area[1]
-        return pd.DataFrame({"node_id": pdf.node_id.iloc[:1], "cp_ids": [[int(pdf.cp_id.iloc[i]) for i in hull]], "area": [_area(hx, hy)]}) if good else pd.DataFrame({"node_id": [], "cp_ids": [], "area": []})
+        return pd.DataFrame({"node_id": pdf.node_id.iloc[:1], "cp_ids": [[int(pdf.cp_id.iloc[i]) for i in hull]], "area": [_area(hx, hy)]}) if good else _none()
 
     return _nearest(seeds, points, radius, 8).groupBy("node_id").applyInPandas(rule, "node_id long, cp_ids array<long>, area double")
 
@@ -303,7 +307,7 @@ def three_legs(seeds: DataFrame, points: DataFrame, radius: float = 26.0, tries:
             if all(angles[0] <= v <= angles[1] for v in a) and area[0] <= size <= area[1]:
                 score = (np.std(a), size, ring)
                 best = score if best is None or score < best else best
-        return pd.DataFrame({"node_id": pdf.node_id.iloc[:1], "cp_ids": [[int(pdf.cp_id[i]) for i in best[2]]], "area": [best[1]]}) if best else pd.DataFrame({"node_id": [], "cp_ids": [], "area": []})
+        return pd.DataFrame({"node_id": pdf.node_id.iloc[:1], "cp_ids": [[int(pdf.cp_id[i]) for i in best[2]]], "area": [best[1]]}) if best else _none()
 
     found = _nearest(seeds, points, radius, 10).groupBy("node_id").applyInPandas(rule, "node_id long, cp_ids array<long>, area double")
     same = F.array_sort("cp_ids")  # one result for each set of points

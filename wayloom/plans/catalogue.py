@@ -208,7 +208,7 @@ def synthetic_multiply(spark, sf_dir) -> DataFrame:
 # decoding and geodesy
 
 @query("""WITH c AS (SELECT o_orderkey AS id, o_orderkey * 97561234567 AS code FROM orders),
-b AS (SELECT id, list_sum(list_transform(range(0, 32), i -> ((code >> (2 * i)) & 1) * (1::BIGINT << i)))::BIGINT AS lon, list_sum(list_transform(range(0, 31), i -> ((code >> (2 * i + 1)) & 1) * (1::BIGINT << i)))::BIGINT AS lat FROM c)
+b AS (SELECT id, list_sum(list_transform(range(0, 32), lambda i: ((code >> (2 * i)) & 1) * (1::BIGINT << i)))::BIGINT AS lon, list_sum(list_transform(range(0, 31), lambda i: ((code >> (2 * i + 1)) & 1) * (1::BIGINT << i)))::BIGINT AS lat FROM c)
 SELECT id, round(CASE WHEN lat >= 1073741824 THEN lat - 2147483648 ELSE lat END * 180.0::DOUBLE / 2147483648, 7) AS lat,
   round(CASE WHEN lon >= 2147483648 THEN lon - 4294967296 ELSE lon END * 180.0::DOUBLE / 2147483648, 7) AS lon FROM b""")
 def morton_decode(spark, sf_dir) -> DataFrame:
@@ -436,10 +436,10 @@ def knn_lanes(spark, sf_dir) -> DataFrame:
     return spatial.k_nearest(q, p, 3, 400.0).select("q_id", "p_id", F.round("dist", 6).alias("dist"), "rank")
 
 
-@query(f"""WITH {LINKS}, l AS (SELECT link_id, x AS ax, y AS ay, x + 60 AS bx, y + 30 AS by FROM links),
+@query(f"""WITH {LINKS}, l AS (SELECT link_id, x AS ax, y AS ay, x + 60 AS bx, y + 30 AS byy FROM links),
 p AS (SELECT *, x0 AS px, y0 AS py FROM l JOIN (SELECT link_id AS q_id, x + (link_id % 90) - 15 AS x0, y + (link_id % 50) AS y0 FROM links) q ON q.q_id = l.link_id),
-t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS t FROM p)
-SELECT q_id, link_id AS line_id, round(sqrt((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by - ay)) ** 2), 6) AS dist, round(t, 6) AS frac FROM t""")
+t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (byy - ay)) / ((bx - ax) * (bx - ax) + (byy - ay) * (byy - ay)))) AS t FROM p)
+SELECT q_id, link_id AS line_id, round(sqrt((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (byy - ay)) ** 2), 6) AS dist, round(t, 6) AS frac FROM t""")
 def point_polyline_projection(spark, sf_dir) -> DataFrame:
     links = fixtures.road_links(spark, sf_dir)
     lines = links.select(F.col("link_id").alias("line_id"), F.array(F.struct("x", "y"), F.struct((F.col("x") + 30).alias("x"), (F.col("y") + 15).alias("y")), F.struct((F.col("x") + 60).alias("x"), (F.col("y") + 30).alias("y"))).alias("points"))
