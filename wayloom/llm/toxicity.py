@@ -193,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, max_labelled: in
     n = df.where("w = 0").first()
     n1, n0 = (n.d1, n.d0) if n else (0, 0)
     if not n1 or not n0:
-        return np.zeros(0, np.uint64), np.zeros(0), math.log((n1 + 0.5) / (n0 + 0.5))
+        return np.zeros(0, np.uint64), np.zeros(0), math.log((n1 + 0.5) / (n0 + 1.0))
     p1, p0 = (F.col("d1") + 0.5) / (n1 + 1.0), (F.col("d0") + 0.5) / (n0 + 1.0)
     weight = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
     # a word in at least 1 in 100 of the toxic texts: as many rows as a hundred such texts have words
