@@ -38,8 +38,9 @@ from wayloom.llm.words import LOWER, blocks, hash_spans, mix, run_sums, spans
 from wayloom.plans.scratch import Scratch
 
 U = np.uint64
-BLOCK_BYTES = 8 << 20
-SHARD_CHARS = 24_000_000
+#: Text in a block, and text for which there is one more shard: both bound what a task holds.
+BLOCK_BYTES = 4 << 20
+SHARD_CHARS = 8_000_000
 PRIOR = 5.0
 _END, _START = (int(x) for x in mix(np.array([11, 12], U)))
 _ASK = "kind int, block long, shard int, a binary, b binary, c binary, d binary, e binary"
@@ -61,6 +62,22 @@ def _unpack_counts(small: bytes, large: bytes) -> np.ndarray:
     return c
 
 
+def _pack_index(x: np.ndarray) -> bytes:
+    """The low two bytes of all, then as many high bytes of all as the largest needs, then how many."""
+    high = (x >> 16).astype(np.uint32)
+    planes = [(high >> s & 255).astype(np.uint8).tobytes() for s in (0, 8) if len(high) and int(high.max()) >> s]
+    return (x & 0xFFFF).astype(np.uint16).tobytes() + b"".join(planes) + bytes([len(planes)])
+
+
+def _unpack_index(packed: bytes) -> np.ndarray:
+    planes = packed[-1]
+    n = (len(packed) - 1) // (2 + planes)
+    x = np.frombuffer(packed, np.uint16, n).astype(np.int64)
+    for k in range(planes):
+        x |= np.frombuffer(packed, np.uint8, n, 2 * n + k * n).astype(np.int64) << (16 + 8 * k)
+    return x
+
+
 class _Block:
     """The tokens of some texts as indices into their distinct words."""
 
@@ -115,7 +132,7 @@ class _Block:
         return np.unique(before * len(self.words) + self.index, return_inverse=True)
 
     def header(self):
-        return (0, self.key, -1, self.words.tobytes(), self.index.astype(np.uint32).tobytes(), self.n_tokens.astype(np.int64).tobytes(),
+        return (0, self.key, -1, self.words.tobytes(), _pack_index(self.index), self.n_tokens.astype(np.int64).tobytes(),
                 np.array([-1 if x is None else x for x in self.ids], np.int64).tobytes(), np.append(self.held_out, [x is None for x in self.ids]).astype(np.uint8).tobytes())
 
 
@@ -141,37 +158,41 @@ def _table(rows: list) -> pa.RecordBatch:
 
 def _shard(table: pa.Table) -> pa.Table:
     """Add up a shard's requests, build and map its trie, answer the requests."""
-    rows = table.to_pylist()
+    kind, block = table.column("kind").to_numpy(), table.column("block").to_numpy()
+    shard = table.column("shard")[0].as_py()
+    cells = lambda name, rows: [x.as_py() for x in table.column(name).take(pa.array(rows))]
     out = []
-    words = [r for r in rows if r["kind"] == 1]
-    if words:
-        keys = [np.frombuffer(r["a"], U) for r in words]
-        counts = [_unpack_counts(r["b"], r["c"]) for r in words]
+    rows = np.flatnonzero(kind == 1)
+    if len(rows):
+        keys = [np.frombuffer(x, U) for x in cells("a", rows)]
+        counts = [_unpack_counts(x, y) for x, y in zip(cells("b", rows), cells("c", rows), strict=True)]
         u, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
         at = 0
-        for r, k in zip(words, keys, strict=True):
-            out.append((1, r["block"], r["shard"], total[of[at : at + len(k)]].tobytes(), None, None, None, None))
+        for r, k in zip(rows, keys, strict=True):
+            out.append((1, int(block[r]), shard, total[of[at : at + len(k)]].tobytes(), None, None, None, None))
             at += len(k)
-        out.append((4, 0, words[0]["shard"], np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), None, None, None, None))
-    pairs = [r for r in rows if r["kind"] == 2]
-    if pairs:
-        keys = [np.repeat(np.frombuffer(r["a"], np.uint32).astype(U), np.frombuffer(r["b"], np.uint32)) << U(32) | np.frombuffer(r["c"], np.uint32).astype(U) for r in pairs]
-        counts = [_unpack_counts(r["d"], r["e"]) for r in pairs]
-        allk, allc = np.concatenate(keys), np.concatenate(counts)
-        seen = allc > 0
-        order = np.argsort(allk[seen], kind="stable")
-        k, c = allk[seen][order], allc[seen][order]
+        out.append((4, 0, shard, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), None, None, None, None))
+        del keys, counts, u, of, total
+    rows = np.flatnonzero(kind == 2)
+    if len(rows):
+        keys = [np.repeat(np.frombuffer(a, np.uint32).astype(U), np.frombuffer(b, np.uint32)) << U(32) | np.frombuffer(c, np.uint32).astype(U)
+                for a, b, c in zip(cells("a", rows), cells("b", rows), cells("c", rows), strict=True)]
+        counts = [_unpack_counts(x, y) for x, y in zip(cells("d", rows), cells("e", rows), strict=True)]
+        k, c = np.concatenate([x[y > 0] for x, y in zip(keys, counts, strict=True)]), np.concatenate([y[y > 0] for y in counts])
+        del counts
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
         head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
         packed = Trie.build(k[head], np.add.reduceat(c, head) if len(k) else c)
-        del allk, allc, k, c
+        del k, c, order
         held = mmap.mmap(-1, len(packed))
         held.write(packed)
         del packed
         trie = Trie(held)
-        for r, q in zip(pairs, keys, strict=True):
-            out.append((2, r["block"], r["shard"], trie.lookup(q).tobytes(), None, None, None, None))
-    return pa.Table.from_batches([_table(out)]) if out else pa.table({n: pa.array([], k) for n, k in zip(_NAMES, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)})
+        for r, q in zip(rows, keys, strict=True):
+            out.append((2, int(block[r]), shard, trie.lookup(q).tobytes(), None, None, None, None))
+    return pa.Table.from_batches([_table(out)])
 
 
 _SCORES = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
@@ -186,7 +207,7 @@ def _scorer(shards: int, spread: int, total: int, distinct: int, starts: int, pr
         return pa.concat_tables([score(head, rows) for head in heads])  # blocks of equal rows share a key and their answers
 
     def score(head: dict, rows: list[dict]) -> pa.Table:
-        words, index = np.frombuffer(head["a"], U), np.frombuffer(head["b"], np.uint32).astype(np.int64)
+        words, index = np.frombuffer(head["a"], U), _unpack_index(head["b"])
         n_tokens, ids = np.frombuffer(head["c"], np.int64), np.frombuffer(head["d"], np.int64)
         flags = np.frombuffer(head["e"], np.uint8).astype(bool).reshape(2, -1)
         b = _Block.__new__(_Block)
