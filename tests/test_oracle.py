@@ -1,4 +1,4 @@
-"""Every registered road-graph query against its SQL twin in DuckDB at sf0.001."""
+"""Every registered road-graph query against its SQL twin in DuckDB at sf0.001, or those in ORACLE_SF_DIR."""
 
 import glob
 import math
@@ -9,7 +9,7 @@ import pytest
 
 from wayloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
