@@ -11,8 +11,10 @@ times the intersection is at least 85 times the union.
    doc_id stands for it from here on.
 2. A bucket (band key) names a hub, the member that shares the most with
    others, and every member is compared with it: linear in the bucket, not
-   quadratic. Pairs whose odd sketches are decisively apart go; the others are
-   confirmed on the full sets, which are built anew for texts in shared buckets.
+   quadratic. Full sets are built anew for texts in shared buckets. A set with too
+   many shingles that no other of them has is linked with nothing and leaves
+   the buckets. Pairs whose odd sketches are decisively apart go; the others are
+   confirmed on the full sets.
 3. Links become components. A bucket whose members lie in several components
    still has untested pairs: its members outside its largest component are
    compared with all the others, by size and sketch within the join, so that only
@@ -140,8 +142,12 @@ def _apart() -> F.Column:
 
 
 def _may_link() -> F.Column:
-    """Sizes and sketches allow a link; columns nx, ny, ox, oy."""
-    return (LINK[1] * F.least("nx", "ny") >= LINK[0] * F.greatest("nx", "ny")) & (_apart() <= sketch_limit())
+    """Sizes, own shingles and sketches allow a link; columns nx, ux, ox and ny, uy, oy.
+
+    What a set has alone it shares with none, so the intersection is at most the rest of the smaller rest.
+    """
+    common = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
+    return (LINK[1] * common >= LINK[0] * (F.col("nx") + F.col("ny") - common)) & (_apart() <= sketch_limit())
 
 
 def _confirmed(near: DataFrame, sets: DataFrame) -> DataFrame:
@@ -189,17 +195,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
     known = scratch.cut(reps.select("rep", F.col("n_shingles").alias("n"), "odd").join(weight, "rep"), "known")
     wanted = known.select(F.col("rep").alias("doc_id")).hint("shuffle_hash")
     sets = scratch.cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, shingles array<long>"), "sets")
-    shared = shared.select("b", "rep").join(known, "rep")
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("id2")).where("id = id2")
+    alone = alone.groupBy(F.col("id").alias("rep")).agg(F.count(F.lit(1)).alias("u"))
+    known = known.join(alone, "rep", "left").withColumn("u", F.least(F.coalesce("u", F.lit(0)), F.col("n")))
+    # a set with too many shingles of its own can be linked with nothing
+    known = scratch.cut(known.where(LINK[1] * (F.col("n") - F.col("u")) >= LINK[0] * F.col("n")), "linkable")
+    shared = scratch.cut(shared.select("b", "rep").join(known, "rep"), "members")
+    n_shared = shared.count()
     hubs = shared.groupBy("b").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("h")).select(F.xxhash64("b").alias("k"), F.col("b").alias("hb"), (-F.col("h.r")).alias("hub"))
     pairs = shared.select("b", "rep").withColumn("k", F.xxhash64("b")).join(hubs, "k").where("b = hb and rep <> hub").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
-    side = lambda i: known.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("odd").alias(f"o{i}"))
+    side = lambda i: known.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("u").alias(f"u{i}"), F.col("odd").alias(f"o{i}"))
     near = pairs.join(side("x"), "x").join(side("y"), "y").where(_may_link()).select("x", "y")
     tested = near = scratch.cut(near, "near")
     edges = scratch.cut(_confirmed(near, sets), "links")
-    label = None
+    label, before = None, None
     for k in range(max_hub_rounds + 1):
         label = scratch.cut(connected_components(spark, edges, "x", "y", scratch), f"label{k}")
-        in_parts = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("b", "rep", "n", "odd", "w", "c")
+        in_parts = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("b", "rep", "n", "u", "odd", "w", "c")
         part = in_parts.groupBy("b", "c").agg(F.count(F.lit(1)).alias("m"))
         bucket = part.groupBy("b").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("big")).where("parts > 1")
         bucket = bucket.select(F.xxhash64("b").alias("k"), F.col("b").alias("ob"), F.col("big.c").alias("top"), ((F.col("all") - F.col("big.m")) * F.col("all")).alias("pairs"))
@@ -207,14 +219,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
         left = rest.groupBy("b").agg(F.max("pairs").alias("pairs")).agg(F.sum("pairs").alias("pairs")).first().pairs or 0
         if not left:
             break
-        last = k == max_hub_rounds or left <= effort * n_shared
-        cols = [F.col("b").alias("b1"), F.col("rep").alias("r1"), F.col("c").alias("c1"), F.col("n").alias("nx"), F.col("odd").alias("ox")]
+        # other hubs go on only while they help: members that are linked with nothing stay what they are
+        last = k == max_hub_rounds or left <= effort * n_shared or (before is not None and 2 * left > before)
+        before = left
+        cols = [F.col("b").alias("b1"), F.col("rep").alias("r1"), F.col("c").alias("c1"), F.col("n").alias("nx"), F.col("u").alias("ux"), F.col("odd").alias("ox")]
         if last:
             one = rest.where("c <> top").select(*cols)
         else:  # the next hub of a bucket: of those outside its largest part the one with the most in common
             pick = rest.where("c <> top").groupBy("b").agg(F.max(F.struct("w", F.xxhash64("rep", F.lit(k)).alias("r"), "rep")).alias("h")).select(F.col("b").alias("pb"), F.col("h.rep").alias("pr"))
             one = rest.join(pick, (F.col("b") == F.col("pb")) & (F.col("rep") == F.col("pr"))).select(*cols)
-        other = rest.select(F.xxhash64("b").alias("k"), "b", "rep", "c", F.col("n").alias("ny"), F.col("odd").alias("oy"))
+        other = rest.select(F.xxhash64("b").alias("k"), "b", "rep", "c", F.col("n").alias("ny"), F.col("u").alias("uy"), F.col("odd").alias("oy"))
         on = (F.col("k1") == F.col("k")) & (F.col("b1") == F.col("b")) & (F.col("c1") != F.col("c")) & _may_link()
         more = one.withColumn("k1", F.xxhash64("b1")).join(other, on).select(F.least("r1", "rep").alias("x"), F.greatest("r1", "rep").alias("y")).distinct()
         more = scratch.cut(more.join(tested, ["x", "y"], "left_anti"), f"more{k}")
