@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
         return result(None)
     # what a text shares with how many others: a text in the middle of its copies has the most
     weight = shared.groupBy("rep").agg(F.sum("m").alias("w"))
-    known = scratch.cut(reps.select("rep", F.col("n_shingles").alias("n"), "odd").join(weight, "rep"), "known")
+    known = scratch.cut(reps.select("rep", F.col("n_shingles").alias("n"), "odd", "bands").join(weight, "rep"), "known")
     wanted = known.select(F.col("rep").alias("doc_id")).hint("shuffle_hash")
     sets = scratch.cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, shingles array<long>"), "sets")
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("id2")).where("id = id2")
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
     label, before = None, None
     for k in range(max_hub_rounds + 1):
         label = scratch.cut(connected_components(spark, edges, "x", "y", scratch), f"label{k}")
-        in_parts = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("b", "rep", "n", "u", "odd", "w", "c")
+        in_parts = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("b", "rep", "n", "u", "odd", "bands", "w", "c")
         part = in_parts.groupBy("b", "c").agg(F.count(F.lit(1)).alias("m"))
         bucket = part.groupBy("b").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("big")).where("parts > 1")
         bucket = bucket.select(F.xxhash64("b").alias("k"), F.col("b").alias("ob"), F.col("big.c").alias("top"), ((F.col("all") - F.col("big.m")) * F.col("all")).alias("pairs"))
@@ -222,14 +222,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
         # other hubs go on only while they help: members that are linked with nothing stay what they are
         last = k == max_hub_rounds or left <= effort * n_shared or (before is not None and 2 * left > before)
         before = left
-        cols = [F.col("b").alias("b1"), F.col("rep").alias("r1"), F.col("c").alias("c1"), F.col("n").alias("nx"), F.col("u").alias("ux"), F.col("odd").alias("ox")]
+        cols = [F.col("b").alias("b1"), F.col("rep").alias("r1"), F.col("c").alias("c1"), F.col("n").alias("nx"), F.col("u").alias("ux"), F.col("odd").alias("ox"), F.col("bands").alias("bx")]
         if last:
             one = rest.where("c <> top").select(*cols)
         else:  # the next hub of a bucket: of those outside its largest part the one with the most in common
             pick = rest.where("c <> top").groupBy("b").agg(F.max(F.struct("w", F.xxhash64("rep", F.lit(k)).alias("r"), "rep")).alias("h")).select(F.col("b").alias("pb"), F.col("h.rep").alias("pr"))
             one = rest.join(pick, (F.col("b") == F.col("pb")) & (F.col("rep") == F.col("pr"))).select(*cols)
-        other = rest.select(F.xxhash64("b").alias("k"), "b", "rep", "c", F.col("n").alias("ny"), F.col("u").alias("uy"), F.col("odd").alias("oy"))
+        other = rest.select(F.xxhash64("b").alias("k"), "b", "rep", "c", F.col("n").alias("ny"), F.col("u").alias("uy"), F.col("odd").alias("oy"), F.col("bands").alias("by"))
         on = (F.col("k1") == F.col("k")) & (F.col("b1") == F.col("b")) & (F.col("c1") != F.col("c")) & _may_link()
+        if last:  # a pair leaves the first bucket that it shares, not each
+            on &= F.get(F.array_intersect("bx", "by"), F.lit(0)) == F.col("b1")
         more = one.withColumn("k1", F.xxhash64("b1")).join(other, on).select(F.least("r1", "rep").alias("x"), F.greatest("r1", "rep").alias("y")).distinct()
         more = scratch.cut(more.join(tested, ["x", "y"], "left_anti"), f"more{k}")
         if not more.isEmpty():
