@@ -13,6 +13,8 @@ from wayloom.llm.pseudonyms import pseudonymise
 from wayloom.plans.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this part of their shingles at least; op2_odd_sketches has a threshold of its own.
+NEAR = (80, 100)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs.select(COLUMNS))
+    return one_of_each(docs.select(COLUMNS), link=NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """MinHash near-duplicates with odd sketches (operator 2).
 
 A text's set is its distinct 5-word shingles (A-Z lower-cased; with fewer words
-the whole sequence; without words nothing). Two texts are linked where 100
-times the intersection is at least 85 times the union.
+the whole sequence; without words nothing). Two texts are linked where the
+intersection is at least ``link`` of the union: 85 / 100, unless a caller says
+otherwise.
 
 1. Each set gives MinHash samples, band keys over some of them, an odd sketch
    of all of them (each sample flips one bit, so equal samples cancel in the XOR
@@ -23,7 +24,7 @@ times the intersection is at least 85 times the union.
 
 All pairs that share a band are so either tested, or already in one component
 through tested links. A pair at exactly the threshold shares none of 24 bands of 4 with
-probability 2e-8.
+probability 2e-8 at 85 / 100, and 3e-6 at 80 / 100.
 
 Null or empty texts have n_shingles 0 and link with nothing. Rows without a
 doc_id can't be named in a link: component null, kept true. Rows that repeat a
@@ -44,7 +45,7 @@ from wayloom.operators.components import connected_components
 from wayloom.plans.scratch import Scratch
 
 SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 24, 4, 128, 512
-#: The threshold as a fraction, and how far under it an estimate may lie (in standard deviations).
+#: The threshold of op2_odd_sketches as a fraction, and how far under it an estimate may lie (in standard deviations).
 LINK, SLACK = (85, 100), 5.0
 _R = (mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)[:, None]
 _A = (mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
@@ -141,28 +142,29 @@ def _apart() -> F.Column:
     return sum((F.bit_count(F.col("ox")[k].bitwiseXOR(F.col("oy")[k])) for k in range(BITS // 64)), F.lit(0))
 
 
-def _may_link() -> F.Column:
+def _may_link(link: tuple[int, int]) -> F.Column:
     """Sizes, own shingles and sketches allow a link; columns nx, ux, ox and ny, uy, oy.
 
     What a set has alone it shares with none, so the intersection is at most the rest of the smaller rest.
     """
     common = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
-    return (LINK[1] * common >= LINK[0] * (F.col("nx") + F.col("ny") - common)) & (_apart() <= sketch_limit())
+    return (link[1] * common >= link[0] * (F.col("nx") + F.col("ny") - common)) & (_apart() <= sketch_limit(link[0] / link[1]))
 
 
-def _confirmed(near: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(near: DataFrame, sets: DataFrame, link: tuple[int, int]) -> DataFrame:
     """The pairs (x, y) whose full sets are linked."""
     sx = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
     sy = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
     both = near.join(sy, "y").join(sx, "x").withColumn("both", F.size(F.array_intersect("sx", "sy")))
-    return both.where(LINK[1] * F.col("both") >= LINK[0] * (F.size("sx") + F.size("sy") - F.col("both"))).select("x", "y").distinct()
+    return both.where(link[1] * F.col("both") >= link[0] * (F.size("sx") + F.size("sy") - F.col("both"))).select("x", "y").distinct()
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rounds: int = 6, effort: int = 50) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rounds: int = 6, effort: int = 50, link: tuple[int, int] = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs`` (doc_id, text).
 
     ``effort``: rounds with other hubs come first while the pairs left to look at
     outnumber the buckets' members by more than this factor.
+    ``link``: the least similarity of linked texts, as a fraction (whole numbers).
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
@@ -199,15 +201,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
     alone = alone.groupBy(F.col("id").alias("rep")).agg(F.count(F.lit(1)).alias("u"))
     known = known.join(alone, "rep", "left").withColumn("u", F.least(F.coalesce("u", F.lit(0)), F.col("n")))
     # a set with too many shingles of its own can be linked with nothing
-    known = scratch.cut(known.where(LINK[1] * (F.col("n") - F.col("u")) >= LINK[0] * F.col("n")), "linkable")
+    known = scratch.cut(known.where(link[1] * (F.col("n") - F.col("u")) >= link[0] * F.col("n")), "linkable")
     shared = scratch.cut(shared.select("b", "rep").join(known, "rep"), "members")
     n_shared = shared.count()
     hubs = shared.groupBy("b").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("h")).select(F.xxhash64("b").alias("k"), F.col("b").alias("hb"), (-F.col("h.r")).alias("hub"))
     pairs = shared.select("b", "rep").withColumn("k", F.xxhash64("b")).join(hubs, "k").where("b = hb and rep <> hub").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
     side = lambda i: known.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("u").alias(f"u{i}"), F.col("odd").alias(f"o{i}"))
-    near = pairs.join(side("x"), "x").join(side("y"), "y").where(_may_link()).select("x", "y")
+    near = pairs.join(side("x"), "x").join(side("y"), "y").where(_may_link(link)).select("x", "y")
     tested = near = scratch.cut(near, "near")
-    edges = scratch.cut(_confirmed(near, sets), "links")
+    edges = scratch.cut(_confirmed(near, sets, link), "links")
     label, before = None, None
     for k in range(max_hub_rounds + 1):
         label = scratch.cut(connected_components(spark, edges, "x", "y", scratch), f"label{k}")
@@ -229,14 +231,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
             pick = rest.where("c <> top").groupBy("b").agg(F.max(F.struct("w", F.xxhash64("rep", F.lit(k)).alias("r"), "rep")).alias("h")).select(F.col("b").alias("pb"), F.col("h.rep").alias("pr"))
             one = rest.join(pick, (F.col("b") == F.col("pb")) & (F.col("rep") == F.col("pr"))).select(*cols)
         other = rest.select(F.xxhash64("b").alias("k"), "b", "rep", "c", F.col("n").alias("ny"), F.col("u").alias("uy"), F.col("odd").alias("oy"), F.col("bands").alias("by"))
-        on = (F.col("k1") == F.col("k")) & (F.col("b1") == F.col("b")) & (F.col("c1") != F.col("c")) & _may_link()
+        on = (F.col("k1") == F.col("k")) & (F.col("b1") == F.col("b")) & (F.col("c1") != F.col("c")) & _may_link(link)
         if last:  # a pair leaves the first bucket that it shares, not each
             on &= F.get(F.array_intersect("bx", "by"), F.lit(0)) == F.col("b1")
         more = one.withColumn("k1", F.xxhash64("b1")).join(other, on).select(F.least("r1", "rep").alias("x"), F.greatest("r1", "rep").alias("y")).distinct()
         more = scratch.cut(more.join(tested, ["x", "y"], "left_anti"), f"more{k}")
         if not more.isEmpty():
             tested = tested.union(more)
-            new = scratch.cut(_confirmed(more, sets), f"links{k}")
+            new = scratch.cut(_confirmed(more, sets, link), f"links{k}")
             edges = edges.union(new)
             if last and not new.isEmpty():
                 label = scratch.cut(connected_components(spark, edges, "x", "y", scratch), "label-last")
