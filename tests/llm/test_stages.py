@@ -40,3 +40,16 @@ def test_near_dedup_links_from_four_fifths_on(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], COLUMNS)
     assert sorted(r.doc_id for r in p.near_dedup(spark, docs, "").collect()) == kept(80)
     assert sorted(r.doc_id for r in near_duplicates(docs).where("kept").collect()) == kept(85)
+
+
+def test_leaks_in_capitals_with_accents(spark):
+    from wayloom.llm.leaks import leaked_passages
+
+    items = {1: "où était la forêt enchantée là-bas près du château brûlé après l'été passé à chérir la fée",
+             2: "größere Straßen führen über schöne Brücken später natürlich zurück nach Köln außer für müde Gäste",
+             3: "el niño pequeño soñó también con él mañana según la canción del país más allá del corazón",
+             4: "λόγος και έργος άλλος μέγας κόσμος όλος ποταμός μικρός δρόμος ξένος θεός βίος"}
+    docs = spark.createDataFrame([(k, f"some words before {t.upper()} and some more", "xx", "s", 1) for k, t in items.items()] + [(9, "nothing of that kind here " * 9, "en", "s", 1)], COLUMNS)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in leaked_passages(docs, bench).collect()}
+    assert got == {(k, k): 1.0 for k in items}

@@ -10,8 +10,8 @@ nearby places of an item are one passage, which Smith-Waterman alignment of
 words scores against the item. Edited and paraphrased copies keep some seeds
 and lose only part of the score.
 
-Words are compared without case and without the marks at their ends. Texts are
-read whole. Null or empty texts and items have no words and no leaks; items
+Words are compared without case (over Unicode; the sharp s is a double s) and
+without the marks at their ends. Texts are read whole. Null or empty texts and items have no words and no leaks; items
 with fewer words than a seed are aligned from their whole sequence as one
 seed. Repeated rows give their own result rows. Other columns aren't read.
 """
@@ -31,6 +31,11 @@ _MARK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 _MUL = np.uint64(0xD1342543DE82EF95)
 
 
+def folded(text) -> F.Column:
+    """Text without case, accented letters included."""
+    return F.replace(F.lower(text.cast("string")), F.lit("\u00df"), F.lit("ss"))
+
+
 def plain_words(a: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of lower-cased words without outer marks, and each text's first word."""
     a = LOWER[a]
@@ -110,8 +115,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = SEED, chance: fl
     ``docs`` has doc_id, text; ``items`` has item_id, text.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded(F.col("text")).alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), folded(F.col("text")).alias("text")).where("text is not null")
     total = items.count()
     n_blocks = max(1, -(-total // block_items))
     found = None
