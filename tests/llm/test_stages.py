@@ -53,3 +53,13 @@ def test_leaks_in_capitals_with_accents(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.share for r in leaked_passages(docs, bench).collect()}
     assert got == {(k, k): 1.0 for k in items}
+
+
+def test_addresses_in_texts_without_digits(spark):
+    from wayloom.llm.pseudonyms import pseudonymise
+
+    rows = [(1, "write to jane.doe@example.com today"), (2, "room 7, write to jane.doe@example.com today"), (3, "me @home. or @work"), (4, "jane.doe@example.com")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonymise(docs).collect()}
+    assert [got[k].n_found for k in (1, 2, 3, 4)] == [1, 1, 0, 1] and "jane" not in got[1].text
+    assert got[2].text == "room 7, " + got[1].text and got[3].text == rows[2][1] and got[4].text in got[1].text

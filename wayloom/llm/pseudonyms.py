@@ -155,7 +155,7 @@ def pseudonymise(docs: DataFrame, key: str = "wayloom-1") -> DataFrame:
     """``docs`` with text rewritten, and n_found and n_changed (long)."""
     text = F.col("text")
     cols = [c for c in docs.columns if c not in ("text", "n_found", "n_changed", "_found", "_new", "_gaps")]
-    some = text.rlike(r"[0-9]") & (text.rlike(r"@[A-Za-z0-9-]+\.|\d{3}-\d{4}|\d{1,3}\.\d{1,3}\.\d|\d{4}[ -]?\d{4}[ -]?\d{4}|\d-\d{2}-\d{2,4}|\d[./]\d{2}[./]\d{4}"))
+    some = text.rlike(r"@[A-Za-z0-9-]+\.") | (text.rlike(r"[0-9]") & text.rlike(r"\d{3}-\d{4}|\d{1,3}\.\d{1,3}\.\d|\d{4}[ -]?\d{4}[ -]?\d{4}|\d-\d{2}-\d{2,4}|\d[./]\d{2}[./]\d{4}"))
     found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     d = docs.withColumn("_found", found)
     d = d.withColumn("_new", F.transform("_found", lambda m: pseudonym(key, m)))
