@@ -34,9 +34,10 @@ def pseudonymise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as often as it was drawn, numbered by ``copy``."""
-    drawn = pareto_mix(docs).where("copies > 0").select("doc_id", "copies").hint("shuffle_hash")
-    copies = docs.select(COLUMNS).join(drawn, "doc_id")
+    """The mix itself: each row as often as it was drawn, numbered by ``copy``; rows without a doc_id or that repeat one have their own draws."""
+    rows = Scratch(spark, "mix").cut(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    drawn = pareto_mix(rows, carry=("_row",)).where("copies > 0").select("_row", "copies").hint("shuffle_hash")
+    copies = rows.join(drawn, "_row").drop("_row")
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 

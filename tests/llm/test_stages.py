@@ -63,3 +63,22 @@ def test_addresses_in_texts_without_digits(spark):
     got = {r.doc_id: r for r in pseudonymise(docs).collect()}
     assert [got[k].n_found for k in (1, 2, 3, 4)] == [1, 1, 0, 1] and "jane" not in got[1].text
     assert got[2].text == "room 7, " + got[1].text and got[3].text == rows[2][1] and got[4].text in got[1].text
+
+
+def test_mix_keeps_rows_without_doc_id_and_repeated_ones(spark):
+    import corpus_pipeline as p
+    from wayloom.llm.mixing import pareto_mix
+
+    r = random.Random(5)
+    rows = [(None if i % 3 == 0 else i // 5, "w " * r.randrange(5, 60) + f"n{i}", "en", "abc"[i % 7 % 3], 1) for i in range(400)] + [(None, None, None, "b", None), (1, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    want, got = {}, {}
+    for x in pareto_mix(docs).collect():
+        want[x.source] = want.get(x.source, 0) + x.taken
+    out = p.mix_sources(spark, docs, "").collect()
+    for x in out:
+        got[x.source] = got.get(x.source, 0) + len(x.text.split())
+    assert got == {s: n for s, n in want.items() if n}
+    assert any(x.doc_id is None for x in out) and out[0].asDict().keys() == {*p.COLUMNS, "copy"}
+    drawn = [(x.text, x["copy"]) for x in out]
+    assert len(set(drawn)) == len(drawn) and max(c for _, c in drawn) <= 3

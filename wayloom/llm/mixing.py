@@ -16,7 +16,7 @@ ranked row by row.
 Rows with a null text or no words have size 0 and take 0. Sources are ordered
 by code point with null last. Rows that repeat a doc_id draw the same u and
 are told apart by size. Empty input gives empty output. Columns other than
-doc_id, source and text aren't read.
+doc_id, source, text and those of ``carry`` aren't read.
 """
 
 from __future__ import annotations
@@ -63,16 +63,16 @@ def source_targets(by_source: DataFrame, weights: tuple[float, ...], copies: int
                     F.when(F.col("final").isNull() | (F.col("ratio") <= F.col("final")), F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), copies: int = MAX_COPIES, key: str = "mix-1",
-               bins: int = BINS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: a row for each row of ``docs``."""
+               bins: int = BINS, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, after the columns ``carry`` of ``docs``: a row for each row of ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    rows = scratch.cut(sized(docs), "sizes")
+    rows = scratch.cut(sized(docs, carry), "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") / F.sqrt(F.sqrt(F.col("size") + F.lit(1.0)))).alias("damped"))
     damped = by_source.select(F.col("source").alias("s2"), "damped")
     targets = source_targets(by_source.select("source", "source_size"), weights, copies)
@@ -95,13 +95,13 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), copies:
             .select(F.col("source").alias("e_source"), F.col("e.bin").alias("e_bin"), (F.col("e.until") - F.col("e.words")).alias("e_before")))
     placed = ranked.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left")
     last = placed.where(F.col("bin") == F.col("e_bin")).where("size > 0")
-    within = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("drawn", (F.col("e_before") + within - F.col("size") / 2 <= F.col("rest")).cast("long"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "drawn"]
+    cols = [*carry, "doc_id", "source", "size", "source_size", "target", "whole", "drawn"]
     others = placed.where(~((F.col("bin").eqNullSafe(F.col("e_bin"))) & (F.col("size") > 0)))
     others = others.withColumn("drawn", ((F.col("rest") > 0) & (F.col("e_bin").isNull() | (F.col("bin") < F.col("e_bin")))).cast("long"))
     out = others.select(cols).unionByName(last.select(cols))
     n = (F.coalesce(F.col("whole"), F.lit(0)) + F.coalesce(F.col("drawn"), F.lit(0)))
     n = F.when(F.col("size") > 0, F.least(n, F.lit(copies))).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target"),
+    return out.select(*carry, "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target"),
                       n.cast("long").alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
