@@ -103,6 +103,48 @@ def bearings_hit(angles: DataFrame, bearings: DataFrame, tol: float = 25.0, leas
     return best.groupBy("node_id").agg(F.count(F.lit(1)).alias("n_bearings")).where(F.col("n_bearings") >= least)
 
 
+def directional_nearest(seeds: DataFrame, pts: DataFrame, links: DataFrame | None = None, nodes: DataFrame | None = None, cap: float = 25.0, radius: float = 10.0,
+                        tol: float = 25.0, sectors: int = 8, ratio: float = 2.5, span: float = 140.0, least: int = 2) -> DataFrame:
+    """node_id, n_points, span, n_bearings: seeds whose nearest points by direction lie around them.
+
+    seeds: node_id, sx, sy. pts: cp_id, x, y. links (u, v) with nodes (node_id, x, y): the nearest point along each
+    bearing to a neighbour counts, within 0.35 of the shortest link (``radius`` at least, ``cap`` at most); without
+    links the nearest of each sector within ``radius``. Points farther than ``ratio`` times the nearest go. A seed is
+    kept by its span, or by two bearings hit.
+    """
+    degrees = lambda dx, dy: F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(360.0))
+    off = lambda a, b: F.abs(F.pmod(F.col(a) - F.col(b) + 180, F.lit(360.0)) - 180)
+    near = range_join(seeds.select("node_id", "sx", "sy"), pts.select("cp_id", "x", "y"), cap, "sx", "sy", "x", "y")
+    near = near.select("node_id", "cp_id", "dist", degrees(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")).alias("angle"))
+    nearest = F.min(F.struct("dist", "cp_id", "angle")).alias("p")
+    inc = None
+    if links is None:
+        near = near.where(F.col("dist") <= radius)
+        sel = near.groupBy("node_id", F.floor(F.col("angle") / 360 * sectors).alias("b")).agg(nearest)
+    else:
+        inc = links.select(F.col("u").alias("node_id"), F.col("v").alias("other")).union(links.select("v", "u")).distinct()
+        inc = inc.join(nodes.select("node_id", F.col("x").alias("x0"), F.col("y").alias("y0")), "node_id")
+        inc = inc.join(nodes.select(F.col("node_id").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1")), "other")
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        inc = inc.select("node_id", "other", degrees(dx, dy).alias("bearing"), F.hypot(dx, dy).alias("len"))
+        reach = inc.groupBy("node_id").agg(F.least(F.lit(cap), F.greatest(F.lit(radius), F.min("len") * 0.35)).alias("reach"))
+        near = near.join(reach, "node_id").where(F.col("dist") <= F.col("reach"))
+        sel = near.join(inc, "node_id").where(off("angle", "bearing") <= tol).groupBy("node_id", "other").agg(nearest)
+    sel = sel.select("node_id", "p.*").distinct()
+    first = F.min("dist").over(Window.partitionBy("node_id"))
+    ok = sel.withColumn("_d", first).where(F.col("dist") <= F.col("_d") * ratio).drop("_d")
+    a = F.col("a")
+    gaps = F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.get(a, i) - F.get(a, i - 1))
+    seen = ok.groupBy("node_id").agg(F.count(F.lit(1)).alias("n_points"), F.array_sort(F.collect_list("angle")).alias("a")).where(F.col("n_points") >= least)
+    if least < 2:
+        gaps = F.when(F.size(a) > 1, gaps).otherwise(F.array(F.lit(0.0)))
+    seen = seen.select("node_id", "n_points", (360 - F.greatest(F.array_max(gaps), F.get(a, F.lit(0)) + 360 - F.element_at(a, -1))).alias("span"))
+    if inc is None:
+        return seen.withColumn("n_bearings", F.lit(0).cast("long")).where(F.col("span") >= span)
+    hit = ok.join(inc, "node_id").where(off("angle", "bearing") <= tol).groupBy("node_id").agg(F.count_distinct("bearing").alias("n_bearings"))
+    return seen.join(hit, "node_id").where((F.col("span") >= span) | (F.col("n_bearings") >= 2))
+
+
 def aligned_links(near: DataFrame, tol: float = 5.0, least: int = 2) -> DataFrame:
     """node_id, n_links: seeds whose points (with d_line, t along the link's end) align with enough links."""
     ok = near.where((F.col("d_line") <= tol) & F.col("t").between(0.0, 1.2))
