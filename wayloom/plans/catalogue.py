@@ -523,7 +523,16 @@ def tile_intersection(spark, sf_dir) -> DataFrame:
     return synthetic.common_tiles([p.where(F.col("tile") % k == 0) for k in (2, 3, 5)], 25)
 
 
-# rows only: order-dependent or set-valued results
+# rows only: order-dependent or set-valued results, or too long for recursive SQL
+
+@query()
+def shortest_path_lengths_whole(spark, sf_dir) -> DataFrame:
+    """The ways of ``shortest_path_lengths`` without its limit of 40."""
+    o = fixtures.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    edges = o.select(k.alias("src"), F.when(k % 7 == 0, k + 3).otherwise(k + 1).alias("dst"), (1 + F.col("o_custkey") % 9).alias("weight"))
+    return graphs.shortest_paths(spark, edges, o.where(k % 100 == 0).select(k.alias("node")), max_rounds=1_000_000).select("node", "dist")
+
 
 @query()
 def sector_cull(spark, sf_dir) -> DataFrame:
