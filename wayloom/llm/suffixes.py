@@ -9,15 +9,15 @@ covers it also starts in a text with a smaller doc_id.
    the one with the least hash is its anchor, so equal windows have their
    anchors at the same place. Anchors whose 8-gram is in one text only are
    done with.
-3. The rest are partitioned by prefix. The prefix is the 8-gram; a prefix with
-   more suffixes than fit into memory is lengthened to 25 words (to the right, and
-   to the left for windows that lie mostly there). Prefixes are packed into groups
-   of bounded size, and each group's suffixes, and the words before them,
-   are built into two trees (sorted suffixes with the common lengths of
-   neighbours). The nodes at depth 50 - j of the one and j of the other are the classes
-   of equal windows that start j words before the anchor. Suffixes with still
-   too common a prefix (a passage in very many texts) go the same way with
-   one aggregate per window, which needs no group in one place.
+3. The rest are partitioned by prefix, first the 8-gram. A window starts
+   0 to 42 words before its anchor; where a prefix has more suffixes than fit
+   into memory, that range is halved, and each half has a longer prefix: what all
+   its windows have in common, on both sides of the anchor. So prefixes grow
+   until their group fits, up to the whole window of one start, whose tree is a single
+   node. Prefixes are packed into groups of bounded size, and each group's
+   suffixes, and the words before them, are built into two trees (sorted suffixes
+   with the common lengths of neighbours). The nodes at depth 50 - j of the one and
+   j of the other are the classes of equal windows that start j words before the anchor.
 
 Suffixes with the same words around them are merged before any of this, so
 groups of copies count once. Words are told apart by 32-bit hashes, with the
@@ -32,18 +32,21 @@ repeat a doc_id are judged each by its own text. Other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.words import blocks, flat_list, grams, hash_spans, inside, run_sums, signed, spans
+from wayloom.llm.words import SPACE, blocks, flat_list, grams, hash_spans, inside, run_sums, signed, spans
 from wayloom.plans.scratch import Scratch
 
-WINDOW, ANCHOR, LONGER = 50, 8, 25
+WINDOW, ANCHOR = 50, 8
 BEFORE = WINDOW - ANCHOR
 FULL = (1 << (BEFORE + 1)) - 1
+#: Segments that leave a task at once.
+EMIT = 10_000
 
 
 def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -69,6 +72,32 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+def _joined(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, kept: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The kept words of a block of texts, one space between those of a text, and each text's place among these bytes."""
+    out = ~SPACE[a]
+    gone = np.flatnonzero(~kept)
+    edge = np.zeros(len(a) + 1, np.int8)
+    edge[starts[gone]] = 1
+    edge[ends[gone]] -= 1
+    out &= np.cumsum(edge[:-1], dtype=np.int8) == 0
+    w = np.flatnonzero(kept)
+    home = np.searchsorted(first, w, "right") - 1
+    later = w[np.flatnonzero(home[1:] == home[:-1]) + 1]  # all but the first of each text
+    body = a.copy()
+    body[starts[later] - 1] = 32  # a byte between two words
+    out[starts[later] - 1] = True
+    length = np.bincount(home, weights=ends[w] - starts[w], minlength=len(first) - 1).astype(np.int64)
+    n = np.bincount(home, minlength=len(first) - 1)
+    at = np.zeros(len(first), np.int64)
+    np.cumsum(length + np.maximum(n - 1, 0), out=at[1:])
+    return memoryview(np.ascontiguousarray(body[out])), at
+
+
+def _digests(a, starts, ends, first, kept) -> list[bytes]:
+    body, at = _joined(a, starts, ends, first, kept)
+    return [hashlib.sha256(body[i:j]).digest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _scan(batches):
     for batch in batches:
         n = batch.num_rows
@@ -81,41 +110,53 @@ def _scan(batches):
             at, key = anchors(hash_spans(run_sums(a), starts, ends), first)
             home = np.searchsorted(first, at, "right") - 1
             count[i:j] = np.bincount(home, minlength=j - i)
-            pos.append(at - first[home])
+            pos.append((at - first[home]).astype(np.int32))
             keys.append(key)
-            for k in range(j - i):
-                digest.append(hashlib.sha256(b" ".join(a[off[k] : off[k + 1]].tobytes().split())).digest())
+            digest += _digests(a, starts, ends, first, np.ones(len(starts), bool))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("t"), pa.array(words), pa.array(digest, pa.binary()),
-             flat_list(np.concatenate(pos).astype(np.int32), count, pa.int32()), flat_list(signed(np.concatenate(keys)), count, pa.int64())],
+             flat_list(np.concatenate(pos), count, pa.int32()), flat_list(signed(np.concatenate(keys)), count, pa.int64())],
             names=["doc_id", "t", "n_words", "digest", "pos", "keys"])
 
 
+def _flat(column) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of lists of structs as offsets and flat arrays."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    off = np.asarray(column.offsets).astype(np.int64)
+    inner = column.values.slice(off[0], off[-1] - off[0])
+    return off - off[0], {f.name: inner.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(inner.type)}
+
+
+def _runs(h: np.ndarray, start: np.ndarray, length: np.ndarray, step: int) -> pa.Array:
+    """A binary column: for each start the big-endian words h[start], h[start + step] and so on."""
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(length, out=at[1:])
+    within = np.arange(at[-1]) - np.repeat(at[:-1], length)
+    body = h[np.repeat(start, length) + step * within]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+
+
 def _segments(batches):
     """Around each anchor that is left: the words before it, nearest first, and those from it on, as 32-bit hashes."""
+    names = ["key", "doc_id", "t", "pos", "before", "after"]
     for batch in batches:
-        hits = batch.column("hits").to_pylist()
-        ids, ts = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
-        out = [[] for _ in range(6)]
+        if not batch.num_rows:
+            continue
+        off_hits, hits = _flat(batch.column("hits"))
+        ids, ts = batch.column("doc_id").to_numpy(), batch.column("t").to_numpy()
         for i, j, a, off in blocks(batch.column("text")):
             starts, ends, first = spans(a, off)
             h = (hash_spans(run_sums(a), starts, ends) >> np.uint64(32)).astype(">u4")
-            for k in range(j - i):
-                own = h[first[k] : first[k + 1]]
-                for hit in hits[i + k]:
-                    p = hit["pos"]
-                    for c, v in zip(out, (hit["key"], ids[i + k], ts[i + k], p, own[max(0, p - BEFORE) : p][::-1].tobytes(), own[p : p + WINDOW].tobytes()), strict=True):
-                        c.append(v)
-            if len(out[0]) > 20000:
-                yield _segment_batch(out)
-                out = [[] for _ in range(6)]
-        if out[0]:
-            yield _segment_batch(out)
-
-
-def _segment_batch(out):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "doc_id", "t", "pos", "before", "after"])
+            for lo in range(int(off_hits[i]), int(off_hits[j]), EMIT):
+                part = slice(lo, min(lo + EMIT, int(off_hits[j])))
+                row = np.searchsorted(off_hits, np.arange(part.start, part.stop), "right") - 1
+                pos = hits["pos"][part].astype(np.int64)
+                at = first[row - i] + pos
+                before = _runs(h, at - 1, np.minimum(pos, BEFORE), -1)
+                after = _runs(h, at, np.minimum(first[row - i + 1] - at, WINDOW), 1)
+                cols = [pa.array(hits["key"][part], pa.int64()), pa.array(ids[row], pa.int64()), pa.array(ts[row], pa.int64()), pa.array(pos, pa.int32()), before, after]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 class PrefixTree:
@@ -180,32 +221,44 @@ def _apply(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        cuts = batch.column("cuts").to_pylist()
-        gone, digest = np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
+        off_cuts, cuts = _flat(batch.column("cuts"))
+        gone, digest = np.zeros(batch.num_rows, np.int64), []
         for i, j, a, off in blocks(batch.column("text")):
-            for k in range(j - i):
-                words = a[off[k] : off[k + 1]].tobytes().split()
-                n = len(words)
-                cover = np.zeros(n + WINDOW + 1, np.int64)
-                for cut in cuts[i + k]:
-                    mask, pos = cut["mask"], cut["pos"]
-                    bits = np.flatnonzero([(mask >> b) & 1 for b in range(BEFORE + 1)])
-                    s = pos - bits
-                    s = s[(s >= 0) & (s + WINDOW <= n)]
-                    np.add.at(cover, s, 1)
-                    np.add.at(cover, s + WINDOW, -1)
-                out = np.cumsum(cover)[:n] > 0
-                gone[i + k] = out.sum()
-                digest[i + k] = hashlib.sha256(b" ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o)).digest()
+            starts, ends, first = spans(a, off)
+            edge = np.zeros(len(starts) + 1, np.int64)
+            for lo in range(int(off_cuts[i]), int(off_cuts[j]), EMIT):
+                part = slice(lo, min(lo + EMIT, int(off_cuts[j])))
+                row = np.searchsorted(off_cuts, np.arange(part.start, part.stop), "right") - 1 - i
+                at, mask = first[row] + cuts["pos"][part], cuts["mask"][part]
+                cut, back = np.nonzero((mask[:, None] >> np.arange(BEFORE + 1)) & 1)
+                s = at[cut] - back
+                s = s[(s >= first[row[cut]]) & (s + WINDOW <= first[row[cut] + 1])]
+                np.add.at(edge, s, 1)
+                np.add.at(edge, s + WINDOW, -1)
+            out = np.cumsum(edge)[:-1] > 0
+            total = np.zeros(len(out) + 1, np.int64)
+            np.cumsum(out, out=total[1:])
+            gone[i:j] = np.diff(total[first])
+            digest += _digests(a, starts, ends, first, ~out)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(gone), pa.array(digest, pa.binary())], names=["doc_id", "t", "gone", "rest"])
 
 
+def _longer(level: DataFrame) -> DataFrame:
+    """Both halves of each suffix's range of starts, by what all windows of a half have in common, where it has one."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))
+    level = level.withColumn("half", F.explode(halves)).drop("lo", "hi").select("*", "half.lo", "half.hi").drop("half")
+    level = level.where((F.length("before") >= 4 * F.col("lo")) & (F.length("after") >= 4 * (WINDOW - F.col("hi"))))
+    parts = (F.col("before").substr(F.lit(1), 4 * F.col("lo")), F.col("after").substr(F.lit(1), 4 * (WINDOW - F.col("hi"))))
+    return level.select("key", "sid", "before", "after", "d0", F.xxhash64("key", "lo", "hi", *parts).alias("prefix"), F.xxhash64(F.lit(7), "hi", *parts[::-1]).alias("prefix2"), "lo", "hi")
+
+
 def window_marks(docs: DataFrame, scratch: Scratch, group_size: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scan of all texts, texts with marks to search, marks): a mark (doc_id, t, pos, mask) says which windows around a word go."""
     scan = scratch.cut(docs.select("doc_id", "t", "text").mapInArrow(_scan, "doc_id long, t long, n_words long, digest binary, pos array<int>, keys array<long>"), "scan")
     same = scan.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("d0"))
-    same = same.select(F.xxhash64("digest").alias("k"), "d0")  # 64 bits of a 256-bit digest
-    scan = scan.withColumn("k", F.xxhash64("digest")).join(same, "k", "left")
+    same = same.select(F.xxhash64("digest").alias("k2"), F.col("digest").alias("digest2"), "d0")
+    scan = scan.withColumn("k", F.xxhash64("digest")).join(same, (F.col("k") == F.col("k2")) & (F.col("digest") == F.col("digest2")), "left").drop("k2", "digest2")
     scan = scratch.cut(scan.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("d0"), F.lit(False))).drop("k"), "classes")
     scratch.drop("scan")
     found = (scan.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.size("keys") > 0))
@@ -222,33 +275,26 @@ def window_marks(docs: DataFrame, scratch: Scratch, group_size: int = 20_000) ->
     seg = scratch.cut(seg, "segments")
     merged = seg.groupBy("key", "sid", "before", "after").agg(F.min("doc_id").alias("d0"))
     merged = scratch.cut(merged, "merged")
-    every = lambda c, n: F.lit(n).cast("int").alias(c)
-    size = merged.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    many = scratch.cut(size.where(F.col("size") > group_size).select("key"), "many")
-    one = size.where("size > 1 and size <= " + str(group_size)).select("key")
-    level1 = merged.join(one, "key").select("key", "sid", "before", "after", "d0", F.col("key").alias("prefix"), every("lo", 0), every("hi", BEFORE))
-    total = level1.count()
-    groups = max(1, -(-total // group_size))
-    kinds = "key long, sid long, mask long"
-    out = level1.groupBy(F.pmod(F.xxhash64("prefix"), F.lit(groups)).alias("g")).applyInArrow(_group, kinds)
-    if not many.isEmpty():
-        big = merged.join(many, "key")
-        ahead = big.where(F.length("after") >= 4 * LONGER).withColumn("prefix", F.xxhash64("key", F.lit(1), F.substring("after", 1, 4 * LONGER)))
-        behind = big.where(F.length("before") > 4 * LONGER).withColumn("prefix", F.xxhash64("key", F.lit(2), F.substring("before", 1, 4 * (LONGER + 1))))
-        cols = ["key", "sid", "before", "after", "d0", "prefix"]
-        level2 = ahead.select(*cols, every("lo", 0), every("hi", LONGER)).union(behind.select(*cols, every("lo", LONGER + 1), every("hi", BEFORE)))
-        level2 = scratch.cut(level2, "level2")
-        size2 = level2.groupBy("prefix").agg(F.count(F.lit(1)).alias("size"))
-        fits = level2.join(size2.where(f"size > 1 and size <= {group_size}").select("prefix"), "prefix")
-        groups2 = max(1, -(-level2.count() // group_size))
-        out = out.union(fits.select(*cols, "lo", "hi").groupBy(F.pmod(F.xxhash64("prefix"), F.lit(groups2)).alias("g")).applyInArrow(_group, kinds))
-        rest = level2.join(size2.where(f"size > {group_size}").select("prefix"), "prefix", "left_semi")
-        rest = rest.withColumn("j", F.explode(F.sequence("lo", "hi"))).where((F.length("before") >= 4 * F.col("j")) & (F.length("after") >= 4 * (WINDOW - F.col("j"))))
-        parts = (F.col("before").substr(F.lit(1), 4 * F.col("j")), F.col("after").substr(F.lit(1), 4 * (WINDOW - F.col("j"))))
-        rest = rest.select("key", "sid", "d0", "j", F.xxhash64("key", "j", *parts).alias("w1"), F.xxhash64(F.lit(7), "j", *parts[::-1]).alias("w2"))
-        least = rest.groupBy("w1", "w2").agg(F.min("d0").alias("w0")).select(F.xxhash64("w1", "w2").alias("wk"), F.col("w1").alias("v1"), F.col("w2").alias("v2"), "w0")
-        bits = rest.withColumn("wk", F.xxhash64("w1", "w2")).join(least, "wk").where("w1 = v1 and w2 = v2 and w0 < d0")
-        out = out.union(bits.groupBy("key", "sid").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask")))
+    level = merged.select("key", "sid", "before", "after", "d0", F.col("key").alias("prefix"), F.lit(0).cast("long").alias("prefix2"), F.lit(0).alias("lo"), F.lit(BEFORE).alias("hi"))
+    parts, depth = [], 0
+    while True:
+        size = level.groupBy("prefix", "prefix2").agg(F.count(F.lit(1)).alias("size"), F.max("d0").alias("top"), F.min("d0").alias("least")).where("top <> least")
+        size = scratch.cut(size.select("prefix", "prefix2", "size", F.expr("size > " + str(group_size)).alias("large"), "least"), f"sizes{depth}")
+        level = level.join(size.select("prefix", "prefix2", "large", "least"), ["prefix", "prefix2"])
+        counts = size.groupBy("large").agg(F.sum("size").alias("n"))
+        n = {r.large: r.n for r in counts.collect()}  # two rows at most
+        groups = max(1, -(-n.get(False, 0) // group_size))
+        fits = level.where("not large").drop("large", "least")
+        if n.get(False):
+            parts.append(fits.groupBy(F.pmod(F.xxhash64("prefix"), F.lit(groups)).alias("g")).applyInArrow(_group, "key long, sid long, mask long"))
+        if not n.get(True):
+            break
+        big = level.where("large")
+        one = big.where("lo = hi and d0 > least")  # the prefix is the window: one node
+        parts.append(one.select("key", "sid", F.expr("shiftleft(1L, lo)").alias("mask")))
+        level = scratch.cut(_longer(big.where("lo < hi").drop("prefix", "prefix2", "large", "least")), f"longer{depth}")
+        depth += 1
+    out = reduce(DataFrame.union, parts) if parts else merged.select("key", "sid", F.lit(0).cast("long").alias("mask")).limit(0)
     masks = scratch.cut(out.groupBy("key", "sid").agg(F.bit_or("mask").alias("mask")), "masks")
     holders = merged.select(F.col("key").alias("key3"), F.col("sid").alias("sid3"), "d0").join(
         masks.select(F.col("key").alias("key3"), F.col("sid").alias("sid3"), "mask"), ["key3", "sid3"], "left")
