@@ -7,11 +7,12 @@ covers it also starts in a text with a smaller doc_id.
    in the search and the others lose everything (their windows all start there).
 2. The suffixes that are searched start at anchors: of the 8-grams in a window
    the one with the least hash is its anchor, so equal windows have their
-   anchors at the same place. Anchors whose 8-gram is in one text only are
-   done with.
-3. The rest are partitioned by prefix, first the 8-gram. A window starts
-   0 to 42 words before its anchor; where a prefix has more suffixes than fit
-   into memory, that range is halved, and each half has a longer prefix: what all
+   anchors at the same place. A window starts 0 to 42 words before its anchor. The
+   windows that start 0 to 21 words before it have 29 words from the anchor on in
+   common, the others 22 words before it and 8 from it on: these are the first
+   prefixes. Prefixes that are in one text only are done with.
+3. The rest are partitioned by prefix. Where a prefix has more suffixes than fit
+   into memory, its range of starts is halved, and each half has a longer prefix: what all
    its windows have in common, on both sides of the anchor. So prefixes grow
    until their group fits, up to the whole window of one start, whose tree is a single
    node. Prefixes are packed into groups of bounded size, and each group's
@@ -39,16 +40,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.words import SPACE, blocks, flat_list, grams, hash_spans, inside, run_sums, signed, spans
+from wayloom.llm.words import SPACE, blocks, flat_list, grams, hash_spans, inside, run_sums, signed, span_hashes, spans, word_sums
 from wayloom.plans.scratch import Scratch
 
 WINDOW, ANCHOR = 50, 8
 BEFORE = WINDOW - ANCHOR
-FULL = (1 << (BEFORE + 1)) - 1
+#: Starts before the anchor, from and to, of the two first prefixes: words after the anchor, words before it.
+SIDES = ((0, BEFORE // 2), (BEFORE // 2 + 1, BEFORE))
 #: Segments that leave a task at once.
 EMIT = 10_000
 
 
+def _bits(lo: int, hi: int) -> int:
+    return (1 << (hi + 1)) - (1 << lo)
+
+
 def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
     """Minimum or maximum of each n consecutive values, by doubling."""
     out, width = x, 1
@@ -58,18 +64,32 @@ def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
     return out if width == n else least(out[: len(x) - n + 1], out[n - width : n - width + len(x) - n + 1])
 
 
-def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, keys) of the anchors of all windows of a block of texts."""
+def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Positions of the anchors of all windows of a block of texts."""
     if len(h) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     g = grams(h, ANCHOR)
     span = BEFORE + 1
     low = _slide(g, span, np.minimum)  # of each window
     low[~inside(first, WINDOW)] = 0
     pad = np.zeros(BEFORE, np.uint64)
     top = _slide(np.concatenate([pad, low, pad]), span, np.maximum)
-    at = np.flatnonzero((top == g) & (top > 0))
-    return at, g[at]
+    return np.flatnonzero((top == g) & (top > 0))
+
+
+def prefixes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word in the text, side, key) of the first prefixes of a block of texts, in the order of texts."""
+    at = anchors(h, first)
+    home = np.searchsorted(first, at, "right") - 1
+    total = word_sums(h)
+    found = []
+    for side, (lo, hi) in enumerate(SIDES):
+        ok = np.flatnonzero((at - lo >= first[home]) & (at + WINDOW - hi <= first[home + 1]))
+        key = span_hashes(total, at[ok] - lo, at[ok] + WINDOW - hi) ^ np.uint64(side)
+        found.append((home[ok], at[ok] - first[home[ok]], np.full(len(ok), side), key))
+    text, word, side, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(text, kind="stable")
+    return text[order], word[order], side[order], key[order]
 
 
 def _joined(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, kept: np.ndarray) -> tuple[memoryview, np.ndarray]:
@@ -107,15 +127,14 @@ def _scan(batches):
         for i, j, a, off in blocks(batch.column("text")):
             starts, ends, first = spans(a, off)
             words[i:j] = np.diff(first)
-            at, key = anchors(hash_spans(run_sums(a), starts, ends), first)
-            home = np.searchsorted(first, at, "right") - 1
+            home, word, side, key = prefixes(hash_spans(run_sums(a), starts, ends), first)
             count[i:j] = np.bincount(home, minlength=j - i)
-            pos.append((at - first[home]).astype(np.int32))
+            pos.append(2 * word + side)
             keys.append(key)
             digest += _digests(a, starts, ends, first, np.ones(len(starts), bool))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("t"), pa.array(words), pa.array(digest, pa.binary()),
-             flat_list(np.concatenate(pos), count, pa.int32()), flat_list(signed(np.concatenate(keys)), count, pa.int64())],
+             flat_list(np.concatenate(pos), count, pa.int64()), flat_list(signed(np.concatenate(keys)), count, pa.int64())],
             names=["doc_id", "t", "n_words", "digest", "pos", "keys"])
 
 
@@ -138,8 +157,11 @@ def _runs(h: np.ndarray, start: np.ndarray, length: np.ndarray, step: int) -> pa
 
 
 def _segments(batches):
-    """Around each anchor that is left: the words before it, nearest first, and those from it on, as 32-bit hashes."""
-    names = ["key", "doc_id", "t", "pos", "before", "after"]
+    """Around each anchor that is left: the words before it, nearest first, and those from it on, as 32-bit hashes.
+
+    Only words that a window of the anchor's side can have are taken."""
+    names = ["key", "doc_id", "t", "pos", "side", "before", "after"]
+    lows, highs = np.array(SIDES).T
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -151,11 +173,12 @@ def _segments(batches):
             for lo in range(int(off_hits[i]), int(off_hits[j]), EMIT):
                 part = slice(lo, min(lo + EMIT, int(off_hits[j])))
                 row = np.searchsorted(off_hits, np.arange(part.start, part.stop), "right") - 1
-                pos = hits["pos"][part].astype(np.int64)
+                pos, side = hits["pos"][part] >> 1, hits["pos"][part] & 1
                 at = first[row - i] + pos
-                before = _runs(h, at - 1, np.minimum(pos, BEFORE), -1)
-                after = _runs(h, at, np.minimum(first[row - i + 1] - at, WINDOW), 1)
-                cols = [pa.array(hits["key"][part], pa.int64()), pa.array(ids[row], pa.int64()), pa.array(ts[row], pa.int64()), pa.array(pos, pa.int32()), before, after]
+                before = _runs(h, at - 1, np.minimum(pos, highs[side]), -1)
+                after = _runs(h, at, np.minimum(first[row - i + 1] - at, WINDOW - lows[side]), 1)
+                cols = [pa.array(x, pa.int64()) for x in (hits["key"][part], ids[row], ts[row], pos)]
+                cols += [pa.array(side, pa.int32()), before, after]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
@@ -255,7 +278,7 @@ def _longer(level: DataFrame) -> DataFrame:
 
 def window_marks(docs: DataFrame, scratch: Scratch, group_size: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scan of all texts, texts with marks to search, marks): a mark (doc_id, t, pos, mask) says which windows around a word go."""
-    scan = scratch.cut(docs.select("doc_id", "t", "text").mapInArrow(_scan, "doc_id long, t long, n_words long, digest binary, pos array<int>, keys array<long>"), "scan")
+    scan = scratch.cut(docs.select("doc_id", "t", "text").mapInArrow(_scan, "doc_id long, t long, n_words long, digest binary, pos array<long>, keys array<long>"), "scan")
     same = scan.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("d0"))
     same = same.select(F.xxhash64("digest").alias("k2"), F.col("digest").alias("digest2"), "d0")
     scan = scan.withColumn("k", F.xxhash64("digest")).join(same, (F.col("k") == F.col("k2")) & (F.col("digest") == F.col("digest2")), "left").drop("k2", "digest2")
@@ -270,12 +293,12 @@ def window_marks(docs: DataFrame, scratch: Scratch, group_size: int = 20_000) ->
     texts = docs.select("doc_id", "t", "text")
     texts = scratch.cut(texts.join(hits.hint("shuffle_hash"), ["doc_id", "t"]), "texts")
     scratch.drop("hits")
-    seg = texts.mapInArrow(_segments, "key long, doc_id long, t long, pos int, before binary, after binary")
+    seg = texts.mapInArrow(_segments, "key long, doc_id long, t long, pos long, side int, before binary, after binary")
     seg = seg.withColumn("sid", F.xxhash64("before", "after"))
     seg = scratch.cut(seg, "segments")
-    merged = seg.groupBy("key", "sid", "before", "after").agg(F.min("doc_id").alias("d0"))
+    merged = seg.groupBy("key", "side", "sid", "before", "after").agg(F.min("doc_id").alias("d0"))
     merged = scratch.cut(merged, "merged")
-    level = merged.select("key", "sid", "before", "after", "d0", F.col("key").alias("prefix"), F.lit(0).cast("long").alias("prefix2"), F.lit(0).alias("lo"), F.lit(BEFORE).alias("hi"))
+    level = merged.select("key", "sid", "before", "after", "d0", F.col("key").alias("prefix"), F.lit(0).cast("long").alias("prefix2"), *(F.when(F.col("side") == 0, SIDES[0][k]).otherwise(SIDES[1][k]).alias(n) for k, n in enumerate(("lo", "hi"))))
     parts, depth = [], 0
     while True:
         size = level.groupBy("prefix", "prefix2").agg(F.count(F.lit(1)).alias("size"), F.max("d0").alias("top"), F.min("d0").alias("least")).where("top <> least")
@@ -299,8 +322,9 @@ def window_marks(docs: DataFrame, scratch: Scratch, group_size: int = 20_000) ->
     holders = merged.select(F.col("key").alias("key3"), F.col("sid").alias("sid3"), "d0").join(
         masks.select(F.col("key").alias("key3"), F.col("sid").alias("sid3"), "mask"), ["key3", "sid3"], "left")
     holders = holders.groupBy("key3", "sid3").agg(F.min("d0").alias("d0"), F.bit_or("mask").alias("mask")).withColumn("k", F.xxhash64("key3", "sid3"))
-    marks = (seg.select("key", "sid", "doc_id", "t", "pos").withColumn("k", F.xxhash64("key", "sid")).join(holders, "k").where("key = key3 and sid = sid3")
-             .select("doc_id", "t", "pos", F.when(F.col("doc_id") > F.col("d0"), F.lit(FULL)).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0"))
+    full = F.when(F.col("side") == 0, _bits(*SIDES[0])).otherwise(_bits(*SIDES[1]))
+    marks = (seg.select("key", "sid", "doc_id", "t", "pos", "side").withColumn("k", F.xxhash64("key", "sid")).join(holders, "k").where("key = key3 and sid = sid3")
+             .select("doc_id", "t", "pos", F.when(F.col("doc_id") > F.col("d0"), full).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0"))
     return scan, texts.select("doc_id", "t", "text"), marks
 
 

@@ -98,6 +98,17 @@ def hash_spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U) * _STEP)
 
 
+def word_sums(h: np.ndarray) -> np.ndarray:
+    """Running sums over word hashes, from which ``span_hashes`` reads the hash of any span of words."""
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(h * _powers(len(h) + 1)[0][: len(h)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((total[end] - total[start]) * _powers(len(total))[1][start] + (end - start).astype(U) * _STEP)
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive words (across texts too; see ``inside``)."""
     m = len(h) - n + 1
