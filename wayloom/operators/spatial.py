@@ -7,10 +7,14 @@ repeated into nine, and the exact distance tested after it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayloom.plans.scratch import Scratch
+
 
 def distance(ax, ay, bx, by) -> Column:
     """Plane distance; the square root is compared with thresholds, not its square."""
@@ -38,31 +42,76 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, lx="x", ly="y",
     return a.join(b, on).withColumn("dist", distance(lx, ly, rx, ry)).where(F.col("dist") <= radius).drop("_cx", "_cy", "_dx", "_dy")
 
 
+def _box_distances(size: Column) -> tuple[Column, Column]:
+    """(least, most) distance from a query to the points of its cell, a little wider than exact."""
+    slack = F.lit(1e-9) * (F.abs("_qx") + F.abs("_qy") + size) + F.lit(1e-9)
+    low, most = [], []
+    for q, c in (("_qx", "_cx"), ("_qy", "_cy")):
+        a, b = F.col(c) * size, (F.col(c) + 1) * size
+        low.append(F.greatest(a - F.col(q), F.col(q) - b, F.lit(0.0)))
+        most.append(F.greatest(F.abs(F.col(q) - a), F.abs(b - F.col(q))))
+    return F.sqrt(low[0] * low[0] + low[1] * low[1]) - slack, F.sqrt(most[0] * most[0] + most[1] * most[1]) + slack
+
+
+def _near_enough(cells: DataFrame, query_id: str, k: int, size: float) -> DataFrame:
+    """The cells (query, _cx, _cy, _n) that can hold one of a query's k nearest points."""
+    low, most = _box_distances(F.lit(float(size)))
+    cells = cells.withColumn("_low", low).withColumn("_most", most)
+    own = Window.partitionBy(query_id)
+    cells = cells.withColumn("_until", F.sum("_n").over(own.orderBy("_most", "_cx", "_cy").rowsBetween(Window.unboundedPreceding, 0)))
+    cells = cells.withColumn("_bound", F.min(F.when(F.col("_until") >= k, F.col("_most"))).over(own))
+    return cells.where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound"))).drop("_low", "_most", "_until", "_bound")
+
+
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, query_id="q_id", point_id="p_id", qx="qx", qy="qy", px="x", py="y",
-              max_rings: int = 40) -> DataFrame:
+              crowd: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """query_id, point_id, dist, rank: the k nearest points of every query, exactly; ties by point_id.
 
-    Radii double from ``cell`` on: a query is done when k points lie within the radius. Queries
-    that have fewer than k points within ``cell * 2**max_rings`` keep those they have.
+    The points are counted in a pyramid of cells, from ``cell`` (less where a cell has more than
+    ``crowd`` points) up to one for all. Queries go down the pyramid: at each level a query
+    keeps the cells that are nearer than the farthest corner of those that surely hold k
+    points, so neither empty country nor a city near by makes it look at more than a few
+    cells. Points of the last cells are measured. Queries and points that aren't finite match nothing;
+    with fewer than k points a query gets all of them. Each level is written, so plans stay short.
     """
     if k < 1:
         raise ValueError("k is at least 1")
-    out, left, radius = None, queries.select(query_id, qx, qy), float(cell)
-    top = Window.partitionBy(query_id).orderBy("dist", point_id)
-    points = points.select(point_id, px, py)
-    for _ in range(max_rings):
-        near = range_join(left, points, radius, qx, qy, px, py).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
-        near = near.select(query_id, point_id, "dist", "rank").persist()
-        done = near.groupBy(query_id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(query_id)
-        got = near.join(done, query_id, "left_semi")
-        out = got if out is None else out.unionByName(got)
-        left = left.join(done, query_id, "left_anti").persist()
-        if left.isEmpty():
-            return out
-        radius *= 2
-        if radius > 1e12:
+    spark = points.sparkSession
+    scratch = scratch or Scratch(spark, "nearest")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    ends = points.where(finite(px) & finite(py)).agg(F.min(px).alias("x0"), F.max(px).alias("x1"), F.min(py).alias("y0"), F.max(py).alias("y1")).first()  # one row
+    own = queries.where(finite(qx) & finite(qy)).select(query_id, F.col(qx).cast("double").alias("_qx"), F.col(qy).cast("double").alias("_qy"))
+    x0, y0 = (0.0, 0.0) if ends.x0 is None else (float(ends.x0), float(ends.y0))
+    extent = 0.0 if ends.x0 is None else max(float(ends.x1) - x0, float(ends.y1) - y0)
+    size = float(cell)
+    while extent / size > 1 << 40:  # cell numbers stay exact
+        size *= 2
+    own = own.withColumn("_qx", F.col("_qx") - x0).withColumn("_qy", F.col("_qy") - y0)
+    moved = points.where(finite(px) & finite(py)).select(F.col(point_id), (F.col(px).cast("double") - x0).alias("_x"), (F.col(py).cast("double") - y0).alias("_y"))
+    placed = lambda c: moved.withColumn("_cx", F.floor(F.col("_x") / c).cast("long")).withColumn("_cy", F.floor(F.col("_y") / c).cast("long"))
+    for step in range(4):  # smaller cells where the points are dense
+        base = scratch.cut(placed(size).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")), "cells")
+        most = base.agg(F.max("_n").alias("n")).first().n or 0
+        if most <= crowd or step == 3 or extent / size > 1 << 36:
             break
-    return out.unionByName(near.join(left.select(query_id), query_id, "left_semi"))
+        size /= 2 ** max(1, math.ceil(math.log2(most / crowd) / 2))
+    levels, top = [], 0
+    while (1 << top) * size <= extent:
+        top += 2
+    levels = list(range(top, -1, -2))
+    up = base.select(F.explode(F.array(*[F.lit(v) for v in levels])).alias("_lv"), "_cx", "_cy", "_n")
+    up = up.groupBy("_lv", F.expr("shiftright(_cx, _lv)").alias("_cx"), F.expr("shiftright(_cy, _lv)").alias("_cy")).agg(F.sum("_n").alias("_n"))
+    pyramid = scratch.cut(up, "pyramid")
+    front = own.join(F.broadcast(pyramid.where(F.col("_lv") == top).drop("_lv")))  # the few cells of the top level
+    for level in levels[1:]:
+        keep = _near_enough(front, query_id, k, size * (1 << (level + 2))).drop("_n").withColumnsRenamed({"_cx": "_ux", "_cy": "_uy"})
+        below = pyramid.where(F.col("_lv") == level).select("_cx", "_cy", "_n", F.shiftright("_cx", 2).alias("_vx"), F.shiftright("_cy", 2).alias("_vy"))
+        front = keep.join(below, (F.col("_ux") == F.col("_vx")) & (F.col("_uy") == F.col("_vy"))).select(query_id, "_qx", "_qy", "_cx", "_cy", "_n")
+        front = scratch.cut(front, f"front{level}")
+    last = _near_enough(front, query_id, k, size).select(query_id, "_qx", "_qy", "_cx", "_cy")
+    near = last.join(placed(size), ["_cx", "_cy"]).select(query_id, point_id, distance("_qx", "_qy", "_x", "_y").alias("dist"))
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("dist", point_id))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, points: DataFrame, cell: float, **names) -> DataFrame:
