@@ -1,44 +1,51 @@
 """URL filter: host and path rules, then logistic regression on hashed character n-grams (operator 8).
 
-The model is trained on the driver from a small labelled URL table whose size
-is bounded by ``max_labelled`` rows; every page is scored where it lies, from
-a weight table of fixed size. Nulls and strings without ``://`` have an empty
-host and path, fit no rule and get the model's verdict on empty strings
-(allow). Repeated rows are judged alike. Other columns aren't read.
+The model is trained on the driver from a small labelled URL table (tab-separated
+``label`` and ``url``; 1: block), whose size is bounded by ``max_labelled`` rows; every
+page is scored where it lies, from a weight table of fixed size. The features of a URL
+are the distinct n-grams of its host and of its path, with marks at both ends and all digits
+alike.
+
+Nulls and strings without ``://`` have an empty host and path, fit no rule and
+get the model's verdict on a URL without features, its bias. Repeated rows are judged
+alike; long URLs are read whole. Other columns aren't read. Empty input gives an empty result.
 """
 
 from __future__ import annotations
 
+import csv
+import zlib
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.words import mix
+from wayloom.llm.words import blocks, mix
 
 BUCKETS = 1 << 16
 ORDERS = (3, 4, 5)
+BLOCK_BYTES = 1 << 18
 #: (host, path, verdict): a rule fits its host and all subdomains.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+#: The labelled table that is used unless a caller names another: invented hosts, both labels with the same endings and paths.
+LABELLED = str(Path(__file__).with_name("labelled_urls.tsv"))
+
+
+def labelled_urls(path: str = LABELLED, max_labelled: int = 100_000) -> list[tuple[str, int]]:
+    """(url, label) of a table on the driver's disk; raises if it has more rows than the bound."""
+    with open(path, newline="", encoding="utf-8") as f:
+        rows = [(r["url"], int(r["label"])) for r in csv.DictReader(f, delimiter="\t")]
+    if len(rows) > max_labelled:
+        raise ValueError(f"the labelled table is bounded by {max_labelled} rows")
+    return rows
+
 
-_GOOD = """news.example.org/world/2021/05/report.html library.example.org/catalog/books en.wiki.example.org/wiki/River
-docs.example.org/guide/install university.example.edu/courses/physics blog.gardener.example.org/en/roses/ museum.example.org/exhibits
-weather.example.org/forecast/today recipes.example.org/soup/lentil www.cityhall.example.org/council/minutes journal.example.org/article/1182
-archive.example.org/details/maps maths.example.edu/lecture/7 forum.example.org/t/compilers/44 science.example.org/de/biologie
-health.example.gov/advice/sleep www.orchestra.example.org/concerts travel.example.org/es/andes code.example.org/project/readme
-history.example.org/fr/revolution m.daily.example.org/en/25 www.townnews.example.org/en/471 blog.author.example.org/en/777
-m.harbour.example.org/en/1824 m.bakery.example.org/fr/910 m.theatre.example.org/de/5989 blog.teacher.example.org/en/4502/ www.station.example.org/fr/9736
-m.thenews.example.org/fr/2999 bridge.example.org/en/676 www.thegarden.example.org/es/853/ table.example.org/fr/9099 themes.example.org/en/1440.html
-tribune.example.net/de/12 other.example.net/en/960 stone.example.net/en/25 notable.example.net/de/612 station.example.net/en/369
-shop.example.org/help/returns kids.example.org/stories/fox geology.example.edu/rocks sport.example.org/results/2020 example.org/ example.org"""
-_BAD = """spam-farm.example.org/en/1 spam-offers.example.org/win cheap-pills.example.org/buy cheap-meds.example.org/order/now
-casino-bonus.example.org/slots online-casino.example.org/poker/free-spins free-iphone.example.org/claim/prize viagra-cheap.example.org/pills
-xxx-adult.example.org/cams porn-tube.example.org/videos hot-singles.example.org/dating/adult payday-loans.example.org/fast-cash
-replica-watches.example.org/cheap crypto-doubler.example.org/giveaway lottery-winner.example.org/claim seo-links.example.org/buy-backlinks
-link-farm.example.org/links/1 click-here.example.org/win/free hack-tools.example.org/crack/keygen warez.example.org/crack/serial
-betting-tips.example.org/odds/casino pills-store.example.org/cheap-pills spam-farm.example.org/fr/99 cheap-pills.example.org/en/450
-www.casino-live.example.org/bonus free-money.example.org/cash-prize adult-cams.example.org/xxx essay-mill.example.org/buy-essay"""
-LABELLED = [("https://" + u, 0) for u in _GOOD.split()] + [("https://" + u, 1) for u in _BAD.split()]
+def held_out(url: str, parts: int = 5) -> bool:
+    """Whether a labelled URL is for measuring: a fifth of the hosts."""
+    return zlib.crc32(split_url(url)[0].encode()) % parts == 0
 
 
 def _tail(url: Column) -> Column:
@@ -64,21 +71,6 @@ def rule_column(host: Column, path: Column, rules=RULES) -> Column:
     return best
 
 
-def features(host: str, path: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the distinct n-grams of ``host`` and ``path``, told apart by a prefix."""
-    got = []
-    for tag, s in ((1, host), (2, path)):
-        a = np.frombuffer(f"^{s}$".encode(), np.uint8).astype(np.uint64)
-        a[(a >= 48) & (a <= 57)] = 48  # all digits alike
-        for n in ORDERS:
-            if len(a) >= n:
-                g = np.full(len(a) - n + 1, tag * 16 + n, np.uint64)
-                for k in range(n):
-                    g = g * np.uint64(257) + a[k : len(a) - n + 1 + k]
-                got.append(mix(g))
-    return np.unique(np.concatenate(got) % np.uint64(buckets)).astype(np.int64) if got else np.zeros(0, np.int64)
-
-
 def split_url(url: str | None) -> tuple[str, str]:
     if url is None or "://" not in url:
         return "", ""
@@ -88,31 +80,75 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if c.isascii() else c for c in rest[:cut]), tail[: min([k for k in (tail.find("?"), tail.find("#")) if k >= 0], default=len(tail))]
 
 
-def train(labelled: list[tuple[str, int]], epochs: int = 200, rate: float = 0.5, l2: float = 1e-4, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient steps scaled per feature; the same on every run."""
-    rows = [features(*split_url(u), buckets) for u, _ in labelled]
+def features(host: pa.Array, path: pa.Array, buckets: int = BUCKETS):
+    """(first row, end row, row - first row, bucket) of the distinct n-grams of each URL, in blocks of bounded size."""
+    marked = pc.binary_join_element_wise("^", host, "$\x00^", path, "$", "")
+    for i, j, a, off in blocks(marked, BLOCK_BYTES):
+        row = np.repeat(np.arange(j - i), np.diff(off))
+        zeros = np.zeros(len(a) + 1, np.int64)
+        np.cumsum(a == 0, out=zeros[1:])
+        in_path = (zeros[:-1] > zeros[off[:-1]][row]).astype(np.uint64)
+        code = a.astype(np.uint64)
+        code[(a >= 48) & (a <= 57)] = 48
+        found = []
+        for n in ORDERS:
+            m = len(a) - n + 1
+            if m <= 0:
+                continue
+            ok = np.flatnonzero((row[:m] == row[n - 1 :]) & (zeros[n:] == zeros[:m]))
+            g = np.uint64(n) + np.uint64(16) * (in_path[ok] + np.uint64(1))
+            for k in range(n):
+                g = g * np.uint64(257) + code[ok + k]
+            found.append(row[ok].astype(np.uint64) * np.uint64(buckets) + mix(g) % np.uint64(buckets))
+        both = np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+        yield i, j, both // buckets, both % buckets
+
+
+def scores(host: pa.Array, path: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The model's probability of the label 1."""
+    z = np.full(len(host), bias)
+    for i, j, row, bucket in features(host, path, len(weights)):
+        total = np.bincount(row, weights=weights[bucket], minlength=j - i)
+        z[i:j] += total / np.sqrt(np.maximum(np.bincount(row, minlength=j - i), 1))
+    return 1 / (1 + np.exp(-z.clip(-50, 50)))
+
+
+def train(labelled: list[tuple[str, int]], epochs: int = 300, rate: float = 0.3, l2: float = 2e-3, prior: float = 0.5, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient steps scaled per feature; the same on every run.
+
+    ``prior``: the share that the label 1 has, whatever its share of the table."""
+    weights, bias = np.zeros(buckets), 0.0
     y = np.array([t for _, t in labelled], float)
-    w, b, seen = np.zeros(buckets), 0.0, np.full(buckets, 1e-8)
+    if len(np.unique(y)) < 2:
+        return weights, float(np.sign(y.mean() - 0.5) if len(y) else -1.0)
+    parts = [split_url(u) for u, _ in labelled]
+    got = list(features(pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]), buckets))
+    row = np.concatenate([i + r for i, _, r, _ in got])
+    used, bucket = np.unique(np.concatenate([b for *_, b in got]), return_inverse=True)
+    scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
+    each = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum())
+    w, seen = np.zeros(len(used)), np.full(len(used), 1e-12)
     for _ in range(epochs):
-        scale = np.array([1 / np.sqrt(max(len(r), 1)) for r in rows])
-        z = np.array([w[r].sum() for r in rows]) * scale + b
-        err = 1 / (1 + np.exp(-z)) - y
-        grad = l2 * w
-        for r, e, s in zip(rows, err, scale, strict=True):
-            grad[r] += e * s
+        z = np.bincount(row, weights=w[bucket], minlength=len(y)) * scale + bias
+        err = each * (1 / (1 + np.exp(-z)) - y)
+        grad = np.bincount(bucket, weights=(err * scale)[row], minlength=len(used)) + l2 / len(y) * w
         seen += grad * grad
         w -= rate * grad / np.sqrt(seen)
-        b -= rate * err.mean()
-    return w, b
+        bias -= rate * err.sum()
+    weights[used] = w
+    return weights, bias
 
 
-def judge_urls(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, rules=RULES, threshold: float = 0.5,
+def judge_urls(pages: DataFrame, labelled: str | list[tuple[str, int]] = LABELLED, rules=RULES, threshold: float = 0.5,
                max_labelled: int = 100_000) -> DataFrame:
-    """page_id, host, path, rule, verdict, score: a row for each row of ``pages`` (page_id, url)."""
-    labelled = LABELLED if labelled is None else labelled
-    if len(labelled) > max_labelled:
+    """page_id, host, path, rule, verdict, score: a row for each row of ``pages`` (page_id, url).
+
+    ``labelled``: the path of a labelled table, or its (url, label) pairs.
+    """
+    rows = labelled_urls(labelled, max_labelled) if isinstance(labelled, str) else labelled
+    if len(rows) > max_labelled:
         raise ValueError(f"the labelled table is bounded by {max_labelled} rows")
-    w, b = train(labelled)
+    w, bias = train(rows)
     nonzero = np.flatnonzero(w)
     values = w[nonzero]
 
@@ -120,11 +156,7 @@ def judge_urls(pages: DataFrame, labelled: list[tuple[str, int]] | None = None,
         weights = np.zeros(BUCKETS)
         weights[nonzero] = values
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for k, (h, p) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                f = features(h, p) if h or p else np.zeros(0, np.int64)
-                z = weights[f].sum() / np.sqrt(max(len(f), 1)) + b if len(f) else -20.0
-                score[k] = 1 / (1 + np.exp(-z))
+            score = scores(batch.column("host"), batch.column("path"), weights, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=["page_id", "host", "path", "score"])
 
     url = F.col("url").cast("string")
