@@ -8,15 +8,20 @@ address has octets up to 255, a date is a day of the calendar). Equal values
 therefore stay linked across documents without a table.
 
 Kinds: card numbers (13 to 19 digits with a right check digit, with or without
-groups of four), IPv4 addresses, +1 telephone numbers, US social security
+groups of four), IPv4 addresses (octets without leading zeros), +1 telephone numbers, US social security
 numbers, dates from 1900-01-01 to 2100-05-02 as YYYY-MM-DD, DD.MM.YYYY and
 MM/DD/YYYY, and e-mail addresses (the digits and the letters of the local part
 become a keyed word of 16 digits; the domain stays). What looks like one of
-them and isn't valid stays.
+them and isn't valid stays, but for telephone numbers: an area or exchange that is never assigned
+(first digit 0 or 1, or last two 11) still may be someone's mistyped number, so it becomes
+another one that is never assigned, and an assignable one another assignable one.
+
+Who has the key can turn pseudonyms back. It is the argument ``key``, else the session's
+``spark.wayloom.pseudonym.key``; where neither is set a public key is used, which is for tests.
 
 Texts are read whole. A null text stays null, with counts of 0; an empty one
-stays empty. Repeated rows are rewritten alike. Other columns stay as they are
-unless they have the name of a count.
+stays empty. Repeated rows are rewritten alike; an empty table gives an empty one. Other columns stay as they are
+unless they have the name of a count (n_found, n_changed).
 """
 
 from __future__ import annotations
@@ -93,16 +98,37 @@ def _ipv4(key: str, m: Column) -> Column:
         n = lambda k: F.element_at(p, k).cast("long")
         f = feistel(key, "ipv4", n(1) * 256 + n(2), n(3) * 256 + n(4), F.lit(65536), F.lit(65536))
         out = _let(f, lambda x: F.concat_ws(".", F.floor(x["l"] / 256).cast("string"), (x["l"] % 256).cast("string"), F.floor(x["r"] / 256).cast("string"), (x["r"] % 256).cast("string")))
-        return F.when(F.exists(p, lambda o: o.cast("int") > 255), m).otherwise(out)
+        return F.when(F.exists(p, lambda o: (o.cast("int") > 255) | o.rlike("^0.")), m).otherwise(out)
 
     return _let(F.split(m, r"\."), swap)
 
 
+def _code(n: Column) -> tuple[Column, Column, Column]:
+    """Of an area or exchange: whether it can be assigned, its index among those alike, and how many these are."""
+    valid = (n >= 200) & (n % 100 != 11)
+    first, last = F.floor(n / 100), n % 100
+    index = F.when(valid, (first - 2) * 99 + last - F.when(last > 11, 1).otherwise(0)).when(n < 200, n).otherwise(198 + first)
+    return valid, index, F.when(valid, 792).otherwise(208)
+
+
+def _code_text(valid: Column, index: Column) -> Column:
+    last = index % 99
+    high = (F.floor(index / 99) + 2) * 100 + last + F.when(last >= 11, 1).otherwise(0)
+    n = F.when(valid, high).when(index < 200, index).otherwise((index - 198) * 100 + 11)
+    return F.lpad(n.cast("string"), 3, "0")
+
+
 def _phone(key: str, m: Column) -> Column:
-    d = F.regexp_replace(F.substring(m, 3, 20), r"\D", "")
-    f = feistel(key, "phone", F.substring(d, 1, 5).cast("long"), F.substring(d, 6, 5).cast("long"), F.lit(100000), F.lit(100000))
-    new = _let(f, lambda x: F.concat(F.lpad(x["l"].cast("string"), 5, "0"), F.lpad(x["r"].cast("string"), 5, "0")))
-    return _let(new, lambda x: F.concat(F.lit("+1 ("), F.substring(x, 1, 3), F.lit(") "), F.substring(x, 4, 3), F.lit("-"), F.substring(x, 7, 4)))
+    area, exchange, line = (F.substring(m, *at).cast("long") for at in ((5, 3), (10, 3), (14, 4)))
+    va, a, na = _code(area)
+    ve, e, ne = _code(exchange)
+    f = feistel(key, "phone", a * 100 + F.floor(line / 100), e * 100 + line % 100, na * 100, ne * 100)
+
+    def text(x):
+        number = F.lpad((x["l"] % 100 * 100 + x["r"] % 100).cast("string"), 4, "0")
+        return F.concat(F.lit("+1 ("), _code_text(va, F.floor(x["l"] / 100)), F.lit(") "), _code_text(ve, F.floor(x["r"] / 100)), F.lit("-"), number)
+
+    return _let(f, text)
 
 
 def _ssn(key: str, m: Column) -> Column:
@@ -151,17 +177,23 @@ def pseudonym(key: str, m: Column) -> Column:
             .otherwise(_card(key, m)))
 
 
-def pseudonymise(docs: DataFrame, key: str = "wayloom-1") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with text rewritten, and n_found and n_changed (long)."""
+    key = key or docs.sparkSession.conf.get("spark.wayloom.pseudonym.key", "wayloom-1")
     text = F.col("text")
-    cols = [c for c in docs.columns if c not in ("text", "n_found", "n_changed", "_found", "_new", "_gaps")]
+    counts = ("n_found", "n_changed")
+    cols = [c for c in docs.columns if c not in counts]
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(mark + n in taken for n in ("found", "new")):
+        mark += "_"
+    found, new = mark + "found", mark + "new"
     some = text.rlike(r"@[A-Za-z0-9-]+\.") | (text.rlike(r"[0-9]") & text.rlike(r"\d{3}-\d{4}|\d{1,3}\.\d{1,3}\.\d|\d{4}[ -]?\d{4}[ -]?\d{4}|\d-\d{2}-\d{2,4}|\d[./]\d{2}[./]\d{4}"))
-    found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    d = docs.withColumn("_found", found)
-    d = d.withColumn("_new", F.transform("_found", lambda m: pseudonym(key, m)))
+    d = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn(new, F.transform(found, lambda m: pseudonym(key, m)))
     gaps = F.split(text, ANY, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))))
-    new_text = F.when(F.size("_found") > 0, joined).otherwise(text)
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda x, y: x != y), lambda x: x))
-    return d.select(*cols[: cols.index("doc_id") + 1], new_text.alias("text"), *cols[cols.index("doc_id") + 1 :],
-                    F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_found"), F.coalesce(changed, F.lit(0)).cast("long").alias("n_changed"))
+    joined = F.concat_ws("", F.flatten(F.zip_with(gaps, F.col(new), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))))
+    new_text = F.when(F.size(found) > 0, joined).otherwise(text)
+    changed = F.size(F.filter(F.zip_with(found, new, lambda x, y: x != y), lambda x: x))
+    return d.select(*(new_text.alias("text") if c == "text" else F.col(f"`{c}`") for c in cols),
+                    F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_found"), F.coalesce(changed, F.lit(0)).cast("long").alias("n_changed"))
