@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wayloom.plans.numbering import number_rows
+from wayloom.plans.numbering import number_rows, running_sum
 from wayloom.plans.scratch import Scratch
 
 OTHER, PRIMARY, SECONDARY = 0, 1, 2
@@ -53,10 +52,9 @@ def dense_index(links: DataFrame, scratch: Scratch, by_text: bool = True) -> Dat
     return number_rows(classified(links), [key], "idx", scratch, start=0)
 
 
-def csr_rows(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def csr_rows(edges: DataFrame, vertices: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """link_id, degree, row_offset, neighbours (sorted): rows in the order of link_id, isolated ones with degree 0."""
     near = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
     rows = vertices.select("link_id").join(near.withColumnRenamed("src", "link_id"), "link_id", "left")
     rows = rows.withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<bigint>"))).withColumn("degree", F.size("neighbours"))
-    before = Window.orderBy("link_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("row_offset", F.coalesce(F.sum("degree").over(before), F.lit(0)))
+    return running_sum(rows, [F.col("link_id")], "degree", "row_offset", scratch or Scratch(edges.sparkSession, "csr"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from wayloom.plans.numbering import number_rows
 from wayloom.plans.scratch import Scratch
 
 
@@ -72,7 +72,7 @@ def connector_graph(groups: DataFrame, undirected: bool) -> tuple[DataFrame, Dat
     return nodes, edges.select("group_id", "from_id", "to_id", "weight"), fwd.union(bwd)
 
 
-def lane_graph(lanes: DataFrame, eps: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def lane_graph(lanes: DataFrame, eps: float = 0.0, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of lanes: lane_id, sx, sy, ex, ey, dirs (array of FORWARD / BACKWARD; empty: no edge).
 
     Nodes are numbered from 0 by (x, y); weights are chords; of parallel edges the last counts.
@@ -80,7 +80,8 @@ def lane_graph(lanes: DataFrame, eps: float = 0.0) -> tuple[DataFrame, DataFrame
     q = (lambda c: F.rint(c / eps) * eps) if eps > 0 else (lambda c: c)
     moved = lanes.select("lane_id", "dirs", *[q(F.col(c)).alias(c) for c in ("sx", "sy", "ex", "ey")])
     points = moved.select(F.col("sx").alias("x"), F.col("sy").alias("y")).union(moved.select("ex", "ey")).distinct()
-    nodes = points.withColumn("node_id", F.row_number().over(Window.orderBy("x", "y")) - 1)
+    scratch = scratch or Scratch(lanes.sparkSession, "lanes")
+    nodes = scratch.cut(number_rows(points, [F.col("x"), F.col("y")], "node_id", scratch, start=0), "nodes")
     a = nodes.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("node_id").alias("s_node"))
     b = nodes.select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("node_id").alias("e_node"))
     e = moved.join(a, ["sx", "sy"]).join(b, ["ex", "ey"]).select("lane_id", F.explode("dirs").alias("dir"), "s_node", "e_node", F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")).alias("weight"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.operators.components import connected_components
-from wayloom.operators.dual import PRIMARY, SECONDARY, dual_edges
+from wayloom.operators.dual import PRIMARY, SECONDARY, dual_edges, link_ends
 from wayloom.operators.spatial import range_join
 from wayloom.plans.numbering import number_rows
 from wayloom.plans.scratch import Scratch
@@ -28,10 +28,19 @@ class Limits:
 
 
 def secondary_components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """link_id, component (its least secondary link): every secondary link, alone or not."""
-    own = links.where(F.col("link_type") == SECONDARY).select(F.col("link_id").alias("src"), F.col("link_id").alias("dst"))
-    edges = dual_edges(links, (SECONDARY,), (SECONDARY,)).where("src < dst").union(own)
-    return connected_components(spark, edges, "src", "dst", scratch).withColumnRenamed("id", "link_id")
+    """link_id, component (its first secondary link in the order of ids as text): every secondary link, alone or not.
+
+    Links and their road nodes are the vertices, so a node of d links has d edges, not d * d. As text,
+    links come before nodes: a component's least vertex is a link.
+    """
+    kind = links.schema["link_id"].dataType
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    own = links.where(F.col("link_type") == SECONDARY)
+    alone = own.select(name("0", "link_id").alias("src"), name("0", "link_id").alias("dst"))
+    edges = link_ends(own).select(name("0", "link_id").alias("src"), name("1", "node").alias("dst")).union(alone)
+    found = connected_components(spark, edges, "src", "dst", scratch).where(F.startswith("id", F.lit("0")))
+    plain = lambda c: F.expr(f"substring({c}, 2)").cast(kind)
+    return found.select(plain("id").alias("link_id"), plain("component").alias("component"))
 
 
 def component_boundary(links: DataFrame, components: DataFrame) -> DataFrame:
@@ -160,8 +169,9 @@ class Detection:
 def detect(spark: SparkSession, links: DataFrame, points: DataFrame, limits: Limits = Limits(), scratch: Scratch | None = None) -> Detection:
     """From links (link_id, u, v, link_type) and points (link_id, x, y) to merged junctions.
 
-    junctions: junction_id, seed_link_id, secondary_ids, primary_ids. Numbers go
-    by ascending root of the merge, the seed is that of the first candidate.
+    junctions: junction_id, seed_link_id, secondary_ids, primary_ids. Candidates are numbered in the
+    order of their first links' ids as text; merged numbers go by ascending root of the merge, the
+    seed is that of the first candidate.
     """
     scratch = scratch or Scratch(spark, "junctions")
     links = scratch.cut(links, "links")
@@ -170,7 +180,7 @@ def detect(spark: SparkSession, links: DataFrame, points: DataFrame, limits: Lim
     acc = scratch.cut(candidates(comp, bound, limits), "accepted")
     pts = scratch.cut(member_points(comp, acc, points), "points")
     edges = merge_edges(related_pairs(acc, bound, links, limits), pts, centroids(pts), limits)
-    numbered = number_rows(acc, [F.col("component")], "number", scratch)
+    numbered = number_rows(acc, [F.col("component").cast("string")], "number", scratch)
     groups = scratch.cut(merge_groups(spark, numbered, edges, scratch), "groups")
     sec = comp.join(groups.select("component", "root"), "component").groupBy("root").agg(F.array_sort(F.collect_set("link_id")).alias("secondary_ids"))
     pri = bound.join(groups.select("component", "root"), "component").groupBy("root").agg(F.array_sort(F.collect_set("primary_id")).alias("primary_ids"))

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from wayloom.functions.polyline import hull_indices
 from wayloom.operators.spatial import range_join
+from wayloom.plans.numbering import number_rows
+from wayloom.plans.scratch import Scratch
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -64,8 +66,7 @@ def cover_link_ends(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """``rows`` and a made-up point (synthetic) at each end (node_id, link_id, link_end, x, y) that has none; ids go on from the largest."""
     top = rows.agg(F.coalesce(F.max("cp_id"), F.lit(-1)).alias("top"))
     bare = ends.join(rows.select("link_id", "link_end").distinct(), ["link_id", "link_end"], "left_anti").distinct()
-    number = F.row_number().over(Window.orderBy("link_id", "link_end"))
-    made = bare.withColumn("_n", number).join(F.broadcast(top)).select(  # one row
+    made = number_rows(bare, [F.col("link_id"), F.col("link_end")], "_n", Scratch(rows.sparkSession, "cover")).join(F.broadcast(top)).select(  # one row
         (F.col("top") + F.col("_n")).alias("cp_id"), "node_id", "link_id", "link_end", "x", "y", F.lit(0.0).alias("d_node"), F.lit(0.0).alias("d_seg"), F.lit(True).alias("synthetic"))
     return rows.withColumn("synthetic", F.lit(False)).unionByName(made, allowMissingColumns=True)
 

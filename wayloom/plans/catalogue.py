@@ -29,7 +29,7 @@ dual AS (
 REACH = DUAL + """, reach(src, dst) AS (
   SELECT link_id, link_id FROM links WHERE link_type = 2
   UNION SELECT r.src, d.dst FROM reach r JOIN dual d ON r.dst = d.src WHERE d.st = 2 AND d.dt = 2),
-comp AS (SELECT src AS link_id, min(dst) AS component FROM reach GROUP BY 1)"""
+comp AS (SELECT src AS link_id, arg_min(dst, dst::VARCHAR) AS component FROM reach GROUP BY 1)"""
 CAND = REACH + """, bound AS (
   SELECT DISTINCT c.component, d.dst AS primary_id FROM dual d JOIN comp c ON d.src = c.link_id WHERE d.dt = 1),
 acc AS (
@@ -47,10 +47,18 @@ cenpair AS (
   SELECT p.component AS a, q.component AS b, sqrt((p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy)) AS dist
   FROM cen p JOIN cen q ON p.component < q.component AND abs(p.cx - q.cx) <= 300 AND abs(p.cy - q.cy) <= 300),
 merge AS (SELECT a, b FROM mind WHERE min_dist <= 50 UNION SELECT a, b FROM cenpair WHERE dist <= 300)"""
-MERGED = CAND + """, und AS (SELECT a, b FROM merge UNION SELECT b, a FROM merge),
-mreach(src, dst) AS (SELECT component, component FROM acc UNION SELECT r.src, m.b FROM mreach r JOIN und m ON r.dst = m.a),
-grp AS (SELECT src AS component, min(dst) AS g FROM mreach GROUP BY 1),
-num AS (SELECT g, row_number() OVER (ORDER BY g) AS junction_id FROM (SELECT DISTINCT g FROM grp)),
+MERGED = CAND + """, idx AS (SELECT component, row_number() OVER (ORDER BY component::VARCHAR) AS i FROM acc),
+me AS (SELECT DISTINCT least(x.i, y.i) AS i, greatest(x.i, y.i) AS k FROM merge m JOIN idx x ON x.component = m.a JOIN idx y ON y.component = m.b),
+und AS (SELECT i AS a, k AS b FROM me UNION SELECT k, i FROM me),
+mreach(src, dst) AS (SELECT i, i FROM idx UNION SELECT r.src, m.b FROM mreach r JOIN und m ON r.dst = m.a),
+low AS (SELECT src AS i, min(dst) AS lo FROM mreach GROUP BY 1),
+ordered AS (SELECT l.lo, e.i, e.k, row_number() OVER (PARTITION BY l.lo ORDER BY e.i, e.k) AS n FROM me e JOIN low l ON l.i = e.i),
+united(lo, n, m, r) AS (SELECT lo, 0::BIGINT, list(i ORDER BY i), list(i ORDER BY i) FROM low GROUP BY lo
+  UNION ALL SELECT u.lo, o.n, u.m, list_transform(u.r, lambda x: CASE WHEN x = u.r[list_position(u.m, o.k)] THEN u.r[list_position(u.m, o.i)] ELSE x END)
+  FROM united u JOIN ordered o ON o.lo = u.lo AND o.n = u.n + 1),
+root AS (SELECT lo, arg_max(r, n)[1] AS root FROM united GROUP BY lo),
+grp AS (SELECT x.component, s.component AS g FROM low l JOIN idx x ON x.i = l.i JOIN idx s ON s.i = l.lo),
+num AS (SELECT s.component AS g, row_number() OVER (ORDER BY root) AS junction_id FROM root JOIN idx s ON s.i = root.lo),
 sec AS (SELECT DISTINCT n.junction_id, n.g, c.link_id FROM comp c JOIN grp g ON g.component = c.component JOIN num n ON n.g = g.g),
 pri AS (SELECT DISTINCT n.junction_id, b.primary_id AS link_id FROM bound b JOIN grp g ON g.component = b.component JOIN num n ON n.g = g.g)"""
 
@@ -129,12 +137,12 @@ def _detect_to_accepted(spark, sf_dir):
     return links, comp, bound, acc, points_
 
 
-@query(f"WITH RECURSIVE {CAND} SELECT component, n_secondary, n_primary, row_number() OVER (ORDER BY component) AS junction_id FROM acc")
+@query(f"WITH RECURSIVE {CAND} SELECT component, n_secondary, n_primary, row_number() OVER (ORDER BY component::VARCHAR) AS junction_id FROM acc")
 def junction_candidates(spark, sf_dir) -> DataFrame:
     from wayloom.plans.numbering import number_rows
 
     acc = _detect_to_accepted(spark, sf_dir)[3]
-    return number_rows(acc, [F.col("component")], "junction_id", Scratch(spark, "numbers")).select("component", "n_secondary", "n_primary", "junction_id")
+    return number_rows(acc, [F.col("component").cast("string")], "junction_id", Scratch(spark, "numbers")).select("component", "n_secondary", "n_primary", "junction_id")
 
 
 @query(f"WITH RECURSIVE {CAND} SELECT a, b, n_shared FROM shared")

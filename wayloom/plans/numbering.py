@@ -23,3 +23,15 @@ def number_rows(df: DataFrame, keys: list[Column], name: str, scratch: Scratch,
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
     out = ranged.withColumn("_row", within).join(F.broadcast(offsets), F.col("_part") == F.col("_p2"))  # a row per partition
     return out.withColumn(name, F.col("_off") + F.col("_row") + (start - 1)).drop("_key", "_part", "_p2", "_off", "_row")
+
+
+def running_sum(df: DataFrame, keys: list[Column], value: str, name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before, in the order of ``keys``; dealt into ranges as by ``number_rows``."""
+    ranged = df.select("*", F.struct(*keys).alias("_key")).repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
+    ranged = scratch.cut(ranged, f"ranged-{name}")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_n"))
+    offsets = sums.select(F.col("_part").alias("_p2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumn("_row", within).join(F.broadcast(offsets), F.col("_part") == F.col("_p2"))  # a row per partition
+    return out.withColumn(name, F.col("_off") + F.col("_row")).drop("_key", "_part", "_p2", "_off", "_row")
