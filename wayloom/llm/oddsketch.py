@@ -248,7 +248,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, max_hub_rou
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept: one text of each component. Rows that repeat a doc_id stay once; rows without one all stay."""
+    """The rows of ``docs`` that are kept: one text of each component.
+
+    Rows that repeat a doc_id stay once, with the least text (then the least of the other
+    columns, as text); rows without one all stay.
+    """
     kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    order = F.struct(F.col("text"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))))
+    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("_row"))
+    named = one.select("_row.*")
     return named.unionByName(docs.where("doc_id is null"))
