@@ -1,4 +1,18 @@
-"""A training corpus from documents: five stages, each written and read again as the next one's input."""
+"""A training corpus from documents: five stages, each written and read again as the next one's input.
+
+What all stages do with odd rows: only the columns of ``documents`` are read, so others, whatever
+their names, neither clash nor stay. An empty table gives an empty one. Texts are read whole.
+
+* quality rules: a null or empty text has under 10 words and goes; rows that repeat are judged alike, all
+  of them; a row without doc_id, lang or source is judged as any other.
+* near-dedup: rows without doc_id stay; of rows that repeat a doc_id the least text stays; of equal
+  texts the smallest doc_id stays.
+* decontamination: a row goes if its doc_id has a leak (so do all rows with that doc_id); rows without
+  doc_id stay; null and empty items and texts leak nothing.
+* PII: null texts stay null, equal texts become equal texts.
+* mix: every row, with or without doc_id and repeated or not, has its own draw; texts without words are
+  never drawn; ties in rank are broken by doc_id, size and row.
+"""
 
 from __future__ import annotations
 
