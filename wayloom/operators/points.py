@@ -7,6 +7,7 @@ where edges matter an array ``edges``. Order-dependent rules run per group in
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayloom.functions.polyline import hull_indices
-from wayloom.operators.spatial import range_join
+from wayloom.operators.spatial import k_nearest, range_join
 from wayloom.plans.numbering import number_rows
 from wayloom.plans.scratch import Scratch
 
@@ -167,11 +168,27 @@ def per_lane(rows: DataFrame, lanes: str = "lane_nos") -> DataFrame:
     return rows.withColumn("lane_no", F.explode_outer(lanes)).drop(lanes)
 
 
-def thin_per_lane(rows: DataFrame, near_end: float = 0.2, seg: float = 0.5, slack: float = 0.05) -> DataFrame:
-    """Near the touched end (t), and per node, link and lane no farther than ``slack`` beyond the nearest of those close to the link."""
-    close = rows.where((F.col("t") <= near_end) & (F.col("d_seg") <= seg))
-    best = F.min("d_node").over(Window.partitionBy("node_id", "link_id", "lane_no"))
-    return close.withColumn("_b", best).where(F.col("d_node") <= F.col("_b") + slack).drop("_b")
+def thin_per_lane(rows: DataFrame, near_end: float = 0.2, seg: float = 0.5, slack: float = 0.05, opposite: bool = False) -> DataFrame:
+    """Near the touched end (t, link_end "start" or "end"), then per node, link, end and lane (lane_no; none: a row of its own).
+
+    Of the rows close to the link (d_seg within ``seg``) those go that are more than ``slack`` farther from the node than the
+    nearest close one; with ``opposite`` only if a nearer close one lies on the other side of the node (nx, ny). Rows
+    that aren't close stay.
+    """
+    t = F.when(F.col("link_end") == "start", F.col("t")).otherwise(1 - F.col("t"))
+    near = rows.where(t <= near_end)
+    lane = F.coalesce(F.col("lane_no").cast("string"), F.concat(F.lit("none "), F.col("cp_id").cast("string")))
+    near = near.withColumn("_lane", lane).withColumn("_close", F.col("d_seg") <= seg)
+    keys = ["node_id", "link_id", "link_end", "_lane"]
+    if not opposite:
+        best = F.min(F.when(F.col("_close"), F.col("d_node"))).over(Window.partitionBy(*keys))
+        return near.withColumn("_b", best).where(~F.col("_close") | (F.col("d_node") <= F.col("_b") + slack)).drop("_b", "_lane", "_close")
+    side = lambda c: F.struct((F.col("x") - F.col("nx")).alias("x"), (F.col("y") - F.col("ny")).alias("y"), F.col("d_node").alias("d")).alias(c)
+    mates = near.where("_close").groupBy(*keys).agg(F.collect_list(side("m")).alias("_mates"))  # one lane's rows at one link end
+    own = near.join(mates, keys, "left")
+    dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
+    beaten = F.exists("_mates", lambda m: (m["d"] < F.col("d_node") - slack) & (m["x"] * dx + m["y"] * dy < 0))
+    return own.where(~(F.col("_close") & F.coalesce(beaten, F.lit(False)))).drop("_mates", "_lane", "_close")
 
 
 def match_connection_points(nodes: DataFrame, lane_nodes: DataFrame, link_ends: DataFrame, bridge: DataFrame, radius: float = 25.0, seg: float = 5.0, tip: float = 0.75) -> DataFrame:
@@ -225,77 +242,129 @@ def _per_group(rows: DataFrame, keys: list[str], rule) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(rule, rows.schema)
 
 
-def sector_cull(rows: DataFrame, sector: tuple[float, float] = (5.0, 120.0), tol: float = 0.5, keys: list[str] | None = None) -> DataFrame:
-    """Drops points strictly inside the sector of two others and farther from the node than both; pairs in order of angle, earlier drops count. Groups of two stay."""
+SCOPES = {"node": ["node_id"], "node_by_end": ["node_id", "link_end"], "link": ["node_id", "link_id"], "link_by_end": ["node_id", "link_id", "link_end"]}
+
+
+def _centred(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the road node's place (nx, ny); where rows don't have it, the mean of the group's points stands in."""
+    if {"nx", "ny"} <= set(rows.columns):
+        return rows
+    own = Window.partitionBy(*keys)
+    return rows.withColumn("nx", F.avg("x").over(own)).withColumn("ny", F.avg("y").over(own))
+
+
+def _bearing(pdf: pd.DataFrame) -> np.ndarray:
+    """Angles of a group's points seen from its road node (nx, ny), in [0, 360)."""
+    return np.degrees(np.arctan2(pdf.y - pdf.ny, pdf.x - pdf.nx)).to_numpy() % 360
+
+
+def sector_cull(rows: DataFrame, sector: tuple[float, float] = (25.0, 120.0), tol: float = 0.05, scope: str = "node", by_lane: bool | None = None) -> DataFrame:
+    """Drops points strictly inside the smaller sector of two others and farther from the road node (nx, ny) by ``tol`` than both.
+
+    Pairs are taken in order of angle (ties by cp_id), each once; earlier drops count. A group is the ``scope`` and, with
+    ``by_lane`` (unless told otherwise where there is a lane_no), the lane; a point without lane is alone. Groups of two stay.
+    """
     lo, hi = sector
+    keys, columns = list(SCOPES[scope]), rows.columns
+    by_lane = "lane_no" in columns if by_lane is None else by_lane
+    rows = _centred(rows, keys)
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) <= 2:
             return pdf
-        pdf = pdf.sort_values(["cp_id"], kind="stable").reset_index(drop=True)
-        cx, cy = pdf.x.mean(), pdf.y.mean()
-        angle = np.degrees(np.arctan2(pdf.y - cy, pdf.x - cx)) % 360
-        dist = pdf.d_node.to_numpy()
-        order = np.argsort(angle.to_numpy(), kind="stable")
+        pdf = pdf.sort_values("cp_id", kind="stable").reset_index(drop=True)
+        angle = _bearing(pdf)
+        order = np.argsort(angle, kind="stable")
+        pdf, angle = pdf.iloc[order], angle[order]
+        far = pdf.d_node.to_numpy()
         alive = np.ones(len(pdf), bool)
-        for p, q in itertools.permutations(order, 2):
-            if not (alive[p] and alive[q]):
-                continue
-            width = (angle[q] - angle[p]) % 360
-            if not lo <= width <= hi:
-                continue
-            off = (angle.to_numpy() - angle[p]) % 360
-            inside = alive & (off > 0) & (off < width) & (dist > max(dist[p], dist[q]) + tol)
-            inside[[p, q]] = False
-            alive &= ~inside
+        for i in range(len(pdf) - 1):
+            for j in range(i + 1, len(pdf)):
+                if not alive[i]:
+                    break
+                if not alive[j]:
+                    continue
+                width, start = angle[j] - angle[i], angle[i]
+                if width > 180:
+                    width, start = 360 - width, angle[j]
+                if lo <= width <= hi:
+                    off = (angle - start) % 360
+                    hit = (off > 0) & (off < width) & (far >= max(far[i], far[j]) + tol)
+                    hit[[i, j]] = False
+                    alive &= ~hit
         return pdf[alive]
 
-    return _per_group(rows, keys or ["node_id"], rule)
+    if not by_lane:
+        return _per_group(rows, keys, rule).select(*columns)
+    lane = F.coalesce(F.col("lane_no").cast("string"), F.concat(F.lit("none "), F.col("cp_id").cast("string")))
+    return _per_group(rows.withColumn("_lane", lane), [*keys, "_lane"], rule).select(*columns)
+
+
+def of_nearest_node(rows: DataFrame, nodes: DataFrame, cell: float = 50.0, tol: float = 0.05) -> DataFrame:
+    """Rows at the road node (nodes: node_id, nx, ny) nearest their point, or no more than ``tol`` farther than it."""
+    q = rows.select(F.col("cp_id").alias("q_id"), F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
+    best = k_nearest(q, nodes.select(F.col("node_id").alias("p_id"), F.col("nx").alias("x"), F.col("ny").alias("y")), 1, cell)
+    best = best.select(F.col("q_id").alias("cp_id"), F.col("p_id").alias("_own"), F.col("dist").alias("_dist"))
+    return rows.join(best, "cp_id", "left").where((F.col("node_id") == F.col("_own")) | (F.col("d_node") <= F.col("_dist") + tol)).select(*rows.columns)
 
 
-def drop_farther_connected(rows: DataFrame, tol: float = 20.0) -> DataFrame:
-    """By distance: a point goes if a nearer one that is kept lies in the same direction (within ``tol`` degrees) and shares an edge; then what shares no edge goes."""
+def drop_farther_connected(rows: DataFrame, margin: float = 90.0, tol: float = 0.05, nodes: DataFrame | None = None, by_end: bool = True) -> DataFrame:
+    """Per node, link and end, nearest first: a point goes if it shares an edge with a nearer kept one, lies within ``margin``
+    degrees of it seen from the road node (nx, ny), and is farther by ``tol``. Then points go that share no edge with another
+    of their group, so single ones too. ``nodes``: ``of_nearest_node`` comes first.
+    """
+    keys = SCOPES["link_by_end" if by_end else "link"]
+    least = math.cos(math.radians(min(180.0, max(0.0, margin))))
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["d_node", "cp_id"], kind="stable").reset_index(drop=True)
-        cx, cy = pdf.x.mean(), pdf.y.mean()
-        angle = np.degrees(np.arctan2(pdf.y - cy, pdf.x - cx)) % 360
-        edges = [set(e) for e in pdf.edges]
+        v = np.stack([pdf.x - pdf.nx, pdf.y - pdf.ny], axis=1).astype(float)
+        length = np.hypot(v[:, 0], v[:, 1])
+        unit = v / np.where(length > 0, length, 1e-12)[:, None]
+        edges, far = [frozenset(e) if e is not None else frozenset() for e in pdf.edges], pdf.d_node.to_numpy()
         kept: list[int] = []
         for i in range(len(pdf)):
-            near = [k for k in kept if abs((angle[i] - angle[k] + 180) % 360 - 180) <= tol]
-            if not any(edges[i] & edges[k] for k in near):
+            if not any(far[i] >= far[k] + tol and edges[i] & edges[k] and float(unit[i] @ unit[k]) >= least for k in kept):
                 kept.append(i)
-        return pdf.iloc[kept]
+        count = collections.Counter(e for k in kept for e in edges[k])
+        return pdf.iloc[[k for k in kept if any(count[e] > 1 for e in edges[k])]]
+
+    return _per_group(rows if nodes is None else of_nearest_node(rows, nodes, tol=tol), keys, rule)
 
-    return drop_unlinked(_per_group(rows, ["node_id"], rule))
 
+def prefer_interior(rows: DataFrame, linked_only: bool, angle: float = 25.0, tol: float = 0.05, by_end: bool = True) -> DataFrame:
+    """Per node, link and end, where not all points are on their hull.
 
-def prefer_interior(rows: DataFrame, linked_only: bool) -> DataFrame:
-    """Hull points go that share no edge with an interior one (``linked_only``), or that lie behind an interior one in the same direction."""
+    ``linked_only``: hull points go that share no edge with any other point. Else they go if they share none with an
+    interior one, or if the interior one next in angle (from the road node nx, ny) is within ``angle`` degrees and nearer by ``tol``.
+    """
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 4:
+        if len(pdf) <= (1 if linked_only else 2):
             return pdf
         pdf = pdf.sort_values("cp_id", kind="stable").reset_index(drop=True)
         hull = set(hull_indices(pdf.x.tolist(), pdf.y.tolist()))
         inner = [i for i in range(len(pdf)) if i not in hull]
         if not inner:
             return pdf
-        cx, cy = pdf.x.mean(), pdf.y.mean()
-        angle = np.degrees(np.arctan2(pdf.y - cy, pdf.x - cx))
-        edges = [set(e) for e in pdf.edges]
+        edges, far, around = [frozenset(e) if e is not None else frozenset() for e in pdf.edges], pdf.d_node.to_numpy(), _bearing(pdf)
+        count = collections.Counter(e for own in edges for e in own)
+        within = frozenset().union(*(edges[i] for i in inner))
 
         def stays(i: int) -> bool:
             if i not in hull:
                 return True
             if linked_only:
-                return any(edges[i] & edges[j] for j in inner)
-            return not any(abs((angle[i] - angle[j] + 180) % 360 - 180) <= 20 and pdf.d_node[i] > pdf.d_node[j] for j in inner)
+                return any(count[e] > 1 for e in edges[i])
+            if not edges[i] & within:
+                return False
+            off = [abs((around[i] - around[j] + 180) % 360 - 180) for j in inner]
+            near = inner[int(np.argmin(off))]
+            return min(off) > angle or far[i] < far[near] + tol
 
         return pdf[[stays(i) for i in range(len(pdf))]]
 
-    return _per_group(rows, ["node_id"], rule)
+    return _per_group(rows, SCOPES["link_by_end" if by_end else "link"], rule)
 
 
 def _interior_angles(x: list[float], y: list[float]) -> list[float]:
@@ -312,8 +381,12 @@ def _area(x: list[float], y: list[float]) -> float:
     return abs(sum(x[i] * y[(i + 1) % len(x)] - x[(i + 1) % len(x)] * y[i] for i in range(len(x)))) / 2
 
 
+_SHAPE = "node_id long, cp_ids array<long>, perimeter array<long>, area double, min_angle double, max_angle double, cx double, cy double"
+
+
 def _none() -> pd.DataFrame:
-    return pd.DataFrame({"node_id": pd.Series([], dtype="int64"), "cp_ids": pd.Series([], dtype="object"), "area": pd.Series([], dtype="float64")})
+    kinds = {"node_id": "int64", "cp_ids": "object", "perimeter": "object"}
+    return pd.DataFrame({c: pd.Series([], dtype=kinds.get(c, "float64")) for c in (f.split()[0] for f in _SHAPE.split(", "))})
 
 
 def _nearest(seeds: DataFrame, points: DataFrame, radius: float, k: int) -> DataFrame:
@@ -321,57 +394,164 @@ def _nearest(seeds: DataFrame, points: DataFrame, radius: float, k: int) -> Data
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("node_id").orderBy("dist", "cp_id"))).where(F.col("rank") <= k)
 
 
-def four_legs(seeds: DataFrame, points: DataFrame, radius: float = 28.0, area: tuple[float, float] = (20.0, 3000.0), angles: tuple[float, float] = (100.0, 170.0)) -> DataFrame:
-    """node_id, cp_ids, area: the 8 nearest points all on their hull, with interior angles and an area within bounds."""
+def _with_edges(near: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Each near point with the lane edges (edge_id, a, b) that start or end at it."""
+    if edges is None:
+        return near.withColumn("own", F.array().cast("array<struct<to:bigint,edge:bigint>>"))
+    ends = edges.select(F.col("a").alias("cp_id"), F.col("b").alias("to"), "edge_id").union(edges.select("b", "a", "edge_id"))
+    own = ends.groupBy("cp_id").agg(F.array_sort(F.collect_set(F.struct("to", F.col("edge_id").alias("edge")))).alias("own"))
+    return near.join(own, "cp_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<to:bigint,edge:bigint>>")))
+
+
+def _first_edges(pdf: pd.DataFrame) -> dict[frozenset, int]:
+    """The least edge of each pair of a group's points."""
+    out: dict[frozenset, int] = {}
+    for cp, own in zip(pdf.cp_id.tolist(), pdf.own.tolist(), strict=True):
+        for e in own:
+            key = frozenset((int(cp), int(e["to"])))
+            out[key] = min(int(e["edge"]), out.get(key, int(e["edge"])))
+    return out
+
+
+def _perimeter(ring: list[int], edge: dict[frozenset, int]) -> list[int]:
+    """The edge of each side of a ring: its own, else a diagonal of two or three steps from its first point or to its second one, else -1."""
+    n, out = len(ring), []
+    for i, a in enumerate(ring):
+        b = ring[(i + 1) % n]
+        tries = [(a, b)] + [t for hop in (2, 3) for t in ((a, ring[(i + hop) % n]), (ring[(i - hop) % n], b))]
+        out.append(next((edge[frozenset(t)] for t in tries if frozenset(t) in edge), -1))
+    return out
+
+
+def _shape_row(node: int, ring: list[int], edge: dict, x: list[float], y: list[float], angles: list[float], area: float) -> pd.DataFrame:
+    return pd.DataFrame({"node_id": [node], "cp_ids": [ring], "perimeter": [_perimeter(ring, edge)], "area": [area], "min_angle": [min(angles)], "max_angle": [max(angles)],
+                         "cx": [float(np.mean(x))], "cy": [float(np.mean(y))]})
+
+
+def four_legs(seeds: DataFrame, points: DataFrame, edges: DataFrame | None = None, radius: float = 28.0, least_area: float = 15.0, area_factor: float = 3.5,
+              angles: tuple[float, float] = (100.0, 170.0)) -> DataFrame:
+    """node_id, cp_ids (counter-clockwise), perimeter, area, min_angle, max_angle, cx, cy.
+
+    Seeds (node_id, sx, sy) whose 8 nearest points are all on their hull, with interior angles within bounds and an area from
+    ``least_area`` to ``area_factor`` circles. edges: edge_id, a, b between points; perimeter has the edge of each side (-1: none).
+    """
+    most = area_factor * math.pi * radius**2
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dist", "cp_id"]).reset_index(drop=True)
         x, y = pdf.x.tolist(), pdf.y.tolist()
         hull = hull_indices(x, y) if len(pdf) == 8 else []
+        if len(hull) != 8:
+            return _none()
         hx, hy = [x[i] for i in hull], [y[i] for i in hull]
-        good = len(hull) == 8 and all(angles[0] <= a <= angles[1] for a in _interior_angles(hx, hy)) and area[0] <= _area(hx, hy) <= area[1]
-        return pd.DataFrame({"node_id": pdf.node_id.iloc[:1], "cp_ids": [[int(pdf.cp_id.iloc[i]) for i in hull]], "area": [_area(hx, hy)]}) if good else _none()
+        turn, size = _interior_angles(hx, hy), _area(hx, hy)
+        if not (angles[0] <= min(turn) and max(turn) <= angles[1] and least_area <= size <= most):
+            return _none()
+        return _shape_row(int(pdf.node_id[0]), [int(pdf.cp_id[i]) for i in hull], _first_edges(pdf), hx, hy, turn, size)
 
-    return _nearest(seeds, points, radius, 8).groupBy("node_id").applyInPandas(rule, "node_id long, cp_ids array<long>, area double")
+    return _with_edges(_nearest(seeds, points, radius, 8), edges).groupBy("node_id").applyInPandas(rule, _SHAPE)
 
 
-def three_legs(seeds: DataFrame, points: DataFrame, radius: float = 26.0, tries: int = 600, area: tuple[float, float] = (10.0, 2000.0), angles: tuple[float, float] = (80.0, 175.0)) -> DataFrame:
-    """node_id, cp_ids, area: of the six-subsets (``tries`` at most, in order) of the 10 nearest points the most even convex ring."""
+def _ring(six: tuple[int, ...], pairs: set[frozenset]) -> list[int] | None:
+    """The ring of six points, if the pairs among them hold one: the first found from the least point on, smaller neighbours first."""
+    near = {a: sorted(b for b in six if b != a and frozenset((a, b)) in pairs) for a in six}
+    start = min(six)
 
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dist", "cp_id"]).reset_index(drop=True)
-        x, y, best = pdf.x.tolist(), pdf.y.tolist(), None
-        for six in itertools.islice(itertools.combinations(range(len(pdf)), 6), tries):
-            hull = hull_indices([x[i] for i in six], [y[i] for i in six])
-            if len(hull) < 6:
-                continue
-            ring = [six[i] for i in hull]
-            rx, ry = [x[i] for i in ring], [y[i] for i in ring]
-            a, size = _interior_angles(rx, ry), _area(rx, ry)
-            if all(angles[0] <= v <= angles[1] for v in a) and area[0] <= size <= area[1]:
-                score = (np.std(a), size, ring)
-                best = score if best is None or score < best else best
-        return pd.DataFrame({"node_id": pdf.node_id.iloc[:1], "cp_ids": [[int(pdf.cp_id[i]) for i in best[2]]], "area": [best[1]]}) if best else _none()
+    def walk(path: list[int]) -> list[int] | None:
+        if len(path) == 6:
+            return path if start in near[path[-1]] else None
+        for b in near[path[-1]]:
+            if b not in path and (found := walk([*path, b])):
+                return found
+        return None
+
+    return walk([start])
 
-    found = _nearest(seeds, points, radius, 10).groupBy("node_id").applyInPandas(rule, "node_id long, cp_ids array<long>, area double")
-    same = F.array_sort("cp_ids")  # one result for each set of points
-    return first_per(found.withColumn("_s", F.to_json(same)), ["_s"], ["node_id"]).drop("_s")
 
+def three_legs(seeds: DataFrame, points: DataFrame, edges: DataFrame, radius: float = 26.0, tries: int = 600, least_area: float = 12.0, area_factor: float = 3.0,
+               angles: tuple[float, float] = (38.0, 172.0), four: DataFrame | None = None, four_within: float = 15.0) -> DataFrame:
+    """node_id, cp_ids (counter-clockwise), perimeter, area, min_angle, max_angle, cx, cy: one for each set of points (the least seed's).
 
-def seed_nodes(angles: DataFrame, merge: float = 15.0, least: int = 3) -> DataFrame:
-    """node_id, legs: seeds with enough directions of their points, near ones merged and opposite ones folded."""
+    Of the 10 nearest points of a seed (node_id, sx, sy) the first ``tries`` sets of six are tried: they must lie on a ring of lane
+    edges (edge_id, a, b), with interior angles within bounds and an area from ``least_area`` to ``area_factor`` circles. The set
+    with the highest score counts: area in circles, 0.4 a 30 degrees of the least angle over the bound, less 0.1 a radius between
+    the centre and the seed. Rings within the points of a four-legged junction (``four``) whose centre is near are left out.
+    """
+    circle = math.pi * radius**2
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dist", "cp_id"]).reset_index(drop=True)
+        place = {int(c): (a, b) for c, a, b in zip(pdf.cp_id, pdf.x, pdf.y, strict=True)}
+        edge, best = _first_edges(pdf), None
+        inside = {k for k in edge if len(k) == 2 and all(c in place for c in k)}
+        known = [(set(f["cp_ids"]), f["cx"], f["cy"]) for f in pdf.four[0]] if pdf.four[0] is not None else []
+        for six in itertools.islice(itertools.combinations(pdf.cp_id.tolist(), 6), tries):
+            if sum(k <= set(six) for k in inside) < 6 or (ring := _ring(six, inside)) is None:
+                continue
+            x, y = [place[c][0] for c in ring], [place[c][1] for c in ring]
+            if sum(x[i - 1] * y[i] - x[i] * y[i - 1] for i in range(6)) < 0:
+                ring, x, y = ring[::-1], x[::-1], y[::-1]
+            turn, size = _interior_angles(x, y), _area(x, y)
+            if not (angles[0] <= min(turn) and max(turn) <= angles[1] and least_area <= size <= area_factor * circle):
+                continue
+            cx, cy = float(np.mean(x)), float(np.mean(y))
+            if any(set(ring) <= ids and math.hypot(cx - a, cy - b) <= four_within for ids, a, b in known):
+                continue
+            score = size / circle + 0.4 * (min(turn) - angles[0]) / 30 - 0.1 * math.hypot(cx - pdf.sx[0], cy - pdf.sy[0]) / radius
+            if best is None or score > best[0]:
+                best = (score, ring, x, y, turn, size)
+        return _shape_row(int(pdf.node_id[0]), best[1], edge, *best[2:]) if best else _none()
+
+    near = _with_edges(_nearest(seeds, points, radius, 10), edges)
+    if four is None:
+        near = near.withColumn("four", F.lit(None).cast("array<struct<cp_ids:array<bigint>,cx:double,cy:double>>"))
+    else:  # four-legged junctions with a point among the seed's
+        of = four.select(F.explode("cp_ids").alias("cp_id"), F.struct("cp_ids", "cx", "cy").alias("f"))
+        of = near.select("node_id", "cp_id").join(of, "cp_id").groupBy("node_id").agg(F.collect_set("f").alias("four"))
+        near = near.join(of, "node_id", "left")
+    found = near.groupBy("node_id").applyInPandas(rule, _SHAPE)
+    return first_per(found.withColumn("_s", F.to_json(F.array_sort("cp_ids"))), ["_s"], ["node_id"]).drop("_s")
+
+
+def merge_angles(angles: list[float], merge: float = 15.0, opposite: float = 15.0) -> list[float]:
+    """Legs of a set of directions: neighbours within ``merge`` of a cluster's mean join it.
+
+    Then the cluster nearest a leg's opposite direction joins the leg, but only if it lies within ``opposite`` of the leg
+    itself: two directions 180 degrees apart stay two legs.
+    """
+    clusters: list[list[float]] = []
+    off = lambda a, b: abs((a - b + 180) % 360 - 180)
+    for a in sorted(v % 360 for v in angles):
+        if clusters and off(a, sum(clusters[-1]) / len(clusters[-1])) <= merge:
+            clusters[-1].append(a)
+        else:
+            clusters.append([a])
+    centres = [(sum(c) / len(c)) % 360 for c in clusters]
+    legs, gone = [], set()
+    for i, c in enumerate(centres):
+        if i in gone:
+            continue
+        gone.add(i)
+        legs.append(c)
+        j = min(range(len(centres)), key=lambda k: off(centres[k], c + 180))
+        if j not in gone and off(centres[j], c) <= opposite:
+            gone.add(j)
+    return legs
+
+
+def seed_nodes(angles: DataFrame, merge: float = 15.0, opposite: float = 15.0, least: int = 3, apart: float = 30.0) -> DataFrame:
+    """node_id, n_conn, n_legs, leg_angles: seeds with at least three points off the seed, enough legs, and no two legs nearer than ``apart`` degrees."""
 
     def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged: list[float] = []
-        for a in sorted(pdf.angle % 180):
-            if not merged or a - merged[-1] > merge:
-                merged.append(a)
-        if len(merged) > 1 and merged[0] + 180 - merged[-1] <= merge:
-            merged.pop()
-        return pd.DataFrame({"node_id": [pdf.node_id.iloc[0]], "legs": [len(merged)]})
+        legs = merge_angles(pdf.angle.tolist(), merge, opposite) if len(pdf) >= 3 else []
+        ring = sorted(legs)
+        gaps = [b - a for a, b in zip(ring, [*ring[1:], ring[0] + 360])] if len(ring) > 1 else []
+        ok = len(legs) >= least and all(g >= apart for g in gaps)
+        return pd.DataFrame({"node_id": [pdf.node_id.iloc[0]], "n_conn": [len(pdf)], "n_legs": [len(legs)], "leg_angles": [legs]})[: int(ok)]
 
-    return angles.groupBy("node_id").applyInPandas(rule, "node_id long, legs long").where(F.col("legs") >= least)
+    return angles.groupBy("node_id").applyInPandas(rule, "node_id long, n_conn long, n_legs long, leg_angles array<double>")
 
 
 def drivable(directions: Column) -> Column:
-    """Whether any of a point's lane directions is a real one."""
-    return F.coalesce(F.exists(directions, lambda d: F.upper(d).isin("FORWARD", "BACKWARD", "BOTH")), F.lit(False))
+    """Whether any of a point's lane directions is FORWARD or BACKWARD."""
+    return F.coalesce(F.exists(directions, lambda d: F.upper(d).isin("FORWARD", "BACKWARD")), F.lit(False))

@@ -368,17 +368,20 @@ def link_end_classification(spark, sf_dir) -> DataFrame:
     return graphs.classify_nodes(links, dual.classified(links))
 
 
-@query(f"WITH {_CLS} SELECT link_id, u, v FROM links WHERE u IN (SELECT node_id FROM nc WHERE node_class = 'junction') AND v IN (SELECT node_id FROM nc WHERE node_class = 'junction')")
+@query("""WITH s AS (SELECT o_orderkey AS link_id, o_custkey % 700 AS u, 700 + o_orderkey % 900 AS v, o_orderpriority <> '5-LOW' AS laned FROM orders),
+n AS (SELECT node_id FROM (SELECT u AS node_id FROM s WHERE laned UNION ALL SELECT v FROM s WHERE laned) GROUP BY 1 HAVING count(*) >= 3)
+SELECT link_id, u, v FROM s WHERE u IN (SELECT node_id FROM n) AND v IN (SELECT node_id FROM n)""")
 def junction_graph(spark, sf_dir) -> DataFrame:
-    links = fixtures.road_links(spark, sf_dir)
-    return graphs.junction_graph(links, graphs.classify_nodes(links, dual.classified(links)))
+    streets = fixtures.streets(spark, sf_dir)
+    return graphs.junction_graph(streets, graphs.classify_nodes(streets, streets.where("laned")))
 
 
-@query("""WITH l AS (SELECT DISTINCT vec_id % 7 AS link_id FROM embeddings), c AS (SELECT DISTINCT vec_id % 7 AS link_id, CASE WHEN vec_id % 2 = 0 THEN 'start' ELSE 'end' END AS link_end FROM embeddings WHERE label = 1)
-SELECT link_id, link_end FROM l, (VALUES ('start'), ('end')) e(link_end) EXCEPT SELECT * FROM c""")
+@query("""SELECT o_orderkey AS link_id, link_end FROM orders, (VALUES ('start'), ('end')) e(link_end)
+EXCEPT SELECT l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'start' ELSE 'end' END FROM lineitem WHERE l_quantity > 25""")
 def missing_link_ends(spark, sf_dir) -> DataFrame:
-    cp = fixtures.connection_points(spark, sf_dir)
-    return graphs.missing_link_ends(cp.where("node_id = 1"), cp.select("link_id").distinct())
+    links = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("link_id"))
+    seen = fixtures.table(spark, sf_dir, "lineitem").where("l_quantity > 25")
+    return graphs.missing_link_ends(seen.select(F.col("l_orderkey").alias("link_id"), F.when(F.col("l_linestatus") == "O", "start").otherwise("end").alias("link_end")), links)
 
 
 _G = """g AS (SELECT o_orderkey AS group_id, o_custkey AS from_id, o_orderkey % 1000 AS to_id, (o_custkey % 100)::DOUBLE AS fx, (o_custkey % 37)::DOUBLE AS fy, (o_orderkey % 100)::DOUBLE AS tx, (o_orderkey % 41)::DOUBLE AS ty,
@@ -542,21 +545,68 @@ def shortest_path_lengths_whole(spark, sf_dir) -> DataFrame:
     return graphs.shortest_paths(spark, edges, o.where(k % 100 == 0).select(k.alias("node")), max_rounds=1_000_000).select("node", "dist")
 
 
+_LANE_ENDS = """li AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_linestatus DESC) = 1),
+le AS (SELECT l_orderkey * 8 + l_linenumber AS cp_id, l_orderkey AS node_id, l_suppkey % 2 AS link_id, CASE WHEN l_linestatus = 'O' THEN 'start' ELSE 'end' END AS link_end,
+  CASE WHEN l_linenumber % 4 > 0 THEN l_linenumber % 2 END AS lane_no, l_partkey % 41 - 20 AS dx, l_quantity::BIGINT % 41 - 20 AS dy, (l_suppkey % 11) / 10.0::DOUBLE AS d_seg, (l_partkey % 10) / 10.0::DOUBLE AS t FROM li),
+near AS (SELECT *, sqrt((dx * dx + dy * dy)::DOUBLE) AS d_node, coalesce(lane_no::VARCHAR, 'none ' || cp_id) AS lane FROM le WHERE CASE WHEN link_end = 'start' THEN t ELSE 1 - t END <= 0.2)"""
+
+
+@query(f"""WITH {_LANE_ENDS}, best AS (SELECT *, min(d_node) FILTER (d_seg <= 0.5) OVER (PARTITION BY node_id, link_id, link_end, lane) AS b FROM near)
+SELECT cp_id, node_id FROM best WHERE d_seg > 0.5 OR d_node <= b + 0.05""")
+def near_end_thinning(spark, sf_dir) -> DataFrame:
+    return points.thin_per_lane(fixtures.lane_ends(spark, sf_dir)).select("cp_id", "node_id")
+
+
+@query(f"""WITH {_LANE_ENDS} SELECT cp_id, node_id FROM near n WHERE d_seg > 0.5 OR NOT EXISTS (SELECT 1 FROM near m WHERE m.node_id = n.node_id AND m.link_id = n.link_id
+  AND m.link_end = n.link_end AND m.lane = n.lane AND m.d_seg <= 0.5 AND m.d_node < n.d_node - 0.05 AND m.dx * n.dx + m.dy * n.dy < 0)""")
+def opposite_side_thinning(spark, sf_dir) -> DataFrame:
+    return points.thin_per_lane(fixtures.lane_ends(spark, sf_dir), opposite=True).select("cp_id", "node_id")
+
+
 @query()
 def sector_cull(spark, sf_dir) -> DataFrame:
-    return points.sector_cull(_cp_edges(spark, sf_dir))
+    return points.sector_cull(fixtures.lane_ends(spark, sf_dir), by_lane=False).select("cp_id", "node_id")
+
+
+@query()
+def sector_cull_by_lane(spark, sf_dir) -> DataFrame:
+    return points.sector_cull(fixtures.lane_ends(spark, sf_dir), scope="link").select("cp_id", "node_id")
+
+
+@query()
+def farther_connected_prune(spark, sf_dir) -> DataFrame:
+    return points.drop_farther_connected(fixtures.lane_ends(spark, sf_dir)).select("cp_id", "node_id")
+
+
+@query()
+def interior_linked_only(spark, sf_dir) -> DataFrame:
+    return points.prefer_interior(fixtures.lane_ends(spark, sf_dir), True, by_end=False).select("cp_id", "node_id")
+
+
+@query()
+def interior_over_hull(spark, sf_dir) -> DataFrame:
+    return points.prefer_interior(fixtures.lane_ends(spark, sf_dir), False, by_end=False).select("cp_id", "node_id")
+
+
+@query()
+def angular_seed_nodes(spark, sf_dir) -> DataFrame:
+    l = fixtures.lane_ends(spark, sf_dir).where("d_node > 0")
+    around = l.select("node_id", F.pmod(F.degrees(F.atan2(F.col("y") - F.col("ny"), F.col("x") - F.col("nx"))), F.lit(360.0)).alias("angle"))
+    return points.seed_nodes(around).withColumn("leg_angles", F.array_join(F.transform("leg_angles", lambda a: F.round(a, 6).cast("string")), ","))
+
+
+def _shapes(found: DataFrame) -> DataFrame:
+    return found.select("node_id", text_of("cp_ids"), text_of("perimeter"), F.round("area", 6).alias("area"), F.round("min_angle", 6).alias("min_angle"), F.round("max_angle", 6).alias("max_angle"))
 
 
 @query()
 def x4_finder(spark, sf_dir) -> DataFrame:
-    seeds, pts = _seeds(spark, sf_dir)
-    return points.four_legs(seeds, pts)
+    return _shapes(points.four_legs(*fixtures.rings(spark, sf_dir, 8)))
 
 
 @query()
 def t3_finder(spark, sf_dir) -> DataFrame:
-    seeds, pts = _seeds(spark, sf_dir)
-    return points.three_legs(seeds, pts)
+    return _shapes(points.three_legs(*fixtures.rings(spark, sf_dir, 6)))
 
 
 @query()

@@ -21,6 +21,12 @@ def road_links(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit(400.0) * F.floor(k / 200) + (F.col("o_custkey") * 7) % 30).alias("y"))
 
 
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """link_id, u, v, laned: links between two sets of nodes, several at most nodes."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("link_id"), (F.col("o_custkey") % 700).alias("u"), (700 + F.col("o_orderkey") % 900).alias("v"), (F.col("o_orderpriority") != "5-LOW").alias("laned"))
+
+
 def link_points(links: DataFrame) -> DataFrame:
     """link_id, pos, x, y: two points a link."""
     points = F.array(F.struct(F.lit(0).alias("pos"), F.col("x"), F.col("y")), F.struct(F.lit(1).alias("pos"), (F.col("x") + 60).alias("x"), F.col("y")))
@@ -41,6 +47,32 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("l_partkey") % 100) / 100 + F.col("l_quantity") / 200).alias("s1"))
 
 
+def lane_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cp_id, node_id, link_id, link_end, lane_no, x, y, nx, ny, d_node, d_seg, t, edges: up to seven points a road node (an order) on whole coordinates."""
+    l = table(spark, sf_dir, "lineitem")
+    row = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_linestatus")  # line numbers repeat within an order
+    l = l.groupBy("l_orderkey", "l_linenumber").agg(F.max(row).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    x, y = F.col("l_partkey") % 41 - 20, F.col("l_quantity").cast("long") % 41 - 20
+    return l.select((k * 8 + n).alias("cp_id"), k.alias("node_id"), (F.col("l_suppkey") % 2).alias("link_id"), F.when(F.col("l_linestatus") == "O", "start").otherwise("end").alias("link_end"),
+                    F.when(n % 4 > 0, n % 2).cast("long").alias("lane_no"), (x + k).cast("double").alias("x"), (y - k).cast("double").alias("y"), k.cast("double").alias("nx"), (-k).cast("double").alias("ny"),
+                    F.sqrt((x * x + y * y).cast("double")).alias("d_node"), ((F.col("l_suppkey") % 11) / 10).alias("d_seg"), ((F.col("l_partkey") % 10) / 10).alias("t"),
+                    F.array(F.col("l_partkey") % 3, 3 + F.col("l_suppkey") % 3).alias("edges"))
+
+
+def rings(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seeds, points, lane edges): around each part's seed a ring of n points, some of them dented, some without an edge."""
+    k = F.col("p_partkey")
+    seeds = table(spark, sf_dir, "part").select(k.alias("node_id"), (k * 500).cast("double").alias("sx"), (k % 13).cast("double").alias("sy"))
+    ring = seeds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    k, i = F.col("node_id"), F.col("i")
+    turn = F.radians(i * (360 / n) + (k * 7 + i * 5) % 11 - 5)
+    far = 9.0 + k % 8 - F.when((k % 5 == 0) & (i == 2), 6.0).otherwise(0.0)
+    at = ring.select((k * 10 + i).alias("cp_id"), F.round(F.col("sx") + far * F.cos(turn), 3).alias("x"), F.round(F.col("sy") + far * F.sin(turn), 3).alias("y"))
+    edges = ring.where((k % 4 != 0) | (i != 3)).select((k * 10 + i).alias("edge_id"), (k * 10 + i).alias("a"), (k * 10 + (i + 1) % n).alias("b"))
+    return seeds, at, edges
+
+
 def connection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cp_id, node_id (group), link_id, link_end, x, y, d_node, d_seg (whole numbers as doubles)."""
     e = table(spark, sf_dir, "embeddings")
