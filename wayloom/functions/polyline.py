@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -199,3 +201,103 @@ def convex_hull(points) -> Column:
         return batch.map(one)
 
     return F.pandas_udf(hulls, "array<struct<x:double,y:double>>")(points)
+
+
+def net_turn(p: Column) -> Column:
+    """Degrees from the first segment's heading to the last one's, turns added up with their sign."""
+    n = F.size(p)
+    turn = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: wrap_degrees(heading(F.get(p, i), F.get(p, i + 1)) - heading(F.get(p, i - 1), F.get(p, i))))
+    return F.when(n >= 3, F.aggregate(turn, F.lit(0.0), lambda s, t: s + t)).otherwise(0.0)
+
+
+def least_radius(p: Column) -> Column:
+    """Least radius of curvature: at each inner point the mean length of its segments over the turn in radians; infinite for straight lines."""
+    n, far = F.size(p), F.lit(float("inf"))
+    length = lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+
+    def radius(i):
+        a, b, c = F.get(p, i - 1), F.get(p, i), F.get(p, i + 1)
+        turn, mean = F.radians(F.abs(wrap_degrees(heading(b, c) - heading(a, b)))), (length(a, b) + length(b, c)) / 2
+        return F.when((turn > 0) & (mean > 0), mean / turn).otherwise(far)
+
+    return F.when(n >= 3, F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), radius))).otherwise(far)
+
+
+def straightness(p: Column) -> Column:
+    """R squared of the straight line fitted to y over x."""
+    n = F.size(p)
+    mean = lambda k: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[k]) / n
+
+    def fit(m):
+        total = lambda j, k: F.aggregate(p, F.lit(0.0), lambda s, q: s + (q[j] - m[j]) * (q[k] - m[k]))
+        sums = F.struct(total("x", "x").alias("xx"), total("x", "y").alias("xy"), total("y", "y").alias("yy"))
+        return _let(sums, lambda t: 1 - (t["yy"] - F.when(t["xx"] > 0, t["xy"] * t["xy"] / t["xx"]).otherwise(0.0)) / (t["yy"] + 1e-9))
+
+    return F.when(n >= 1, _let(F.struct(mean("x").alias("x"), mean("y").alias("y")), fit))
+
+
+def _meet(a, b, c, d):
+    """The point that segments ab and cd share (the middle of what they share), or None."""
+    rx, ry, sx, sy = b[0] - a[0], b[1] - a[1], d[0] - c[0], d[1] - c[1]
+    qx, qy, det = c[0] - a[0], c[1] - a[1], rx * sy - ry * sx
+    if abs(det) > 1e-12:
+        t, u = (qx * sy - qy * sx) / det, (qx * ry - qy * rx) / det
+        return (a[0] + t * rx, a[1] + t * ry) if -1e-12 <= t <= 1 + 1e-12 and -1e-12 <= u <= 1 + 1e-12 else None
+    size = rx * rx + ry * ry
+    if not size or abs(qx * ry - qy * rx) > 1e-9:
+        return None
+    lo, hi = sorted(((v[0] - a[0]) * rx + (v[1] - a[1]) * ry) / size for v in (c, d))
+    lo, hi = max(lo, 0.0), min(hi, 1.0)
+    return (a[0] + (lo + hi) / 2 * rx, a[1] + (lo + hi) / 2 * ry) if lo <= hi else None
+
+
+def _foot(p, a, b):
+    """(distance, foot) of a point to a segment."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    size = dx * dx + dy * dy
+    t = min(1.0, max(0.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / size)) if size else 0.0
+    foot = (a[0] + t * dx, a[1] + t * dy)
+    return math.dist(p, foot), foot
+
+
+def t_meeting(a: list[tuple[float, float]], b: list[tuple[float, float]], reach: float = 400.0, most_apart: float = 200.0) -> tuple:
+    """(mode, x, y, end_a, end_b, least distance) of where two lines meet in a T.
+
+    ``main``: the lines meet. Else rays of ``reach`` metres leave each line at the end that is nearer the other: ``ray-ray`` if
+    both meet (and the lines are within ``most_apart``), ``A-ray-B`` or ``B-ray-A`` if one meets the other line. Mode null: nowhere.
+    """
+    pairs = lambda p: list(zip(p, p[1:]))
+    for s in pairs(a):
+        for t in pairs(b):
+            if hit := _meet(*s, *t):
+                return "main", *hit, None, None, 0.0
+    near = [(*_foot(p, *t), p, True) for p in a for t in pairs(b)] + [(*_foot(p, *s), p, False) for p in b for s in pairs(a)]
+    least, foot, corner, of_a = min(near)
+    on_a, on_b = (corner, foot) if of_a else (foot, corner)
+    end = lambda p, q: "start" if math.dist(p[0], q) <= math.dist(p[-1], q) else "end"
+    end_a, end_b = end(a, on_b), end(b, on_a)
+
+    def ray(p, which):
+        tip, back = (p[0], p[1]) if which == "start" else (p[-1], p[-2])
+        size = math.dist(tip, back) or 1.0
+        return tip, (tip[0] + reach * (tip[0] - back[0]) / size, tip[1] + reach * (tip[1] - back[1]) / size)
+
+    ray_a, ray_b = ray(a, end_a), ray(b, end_b)
+    tries = ([("ray-ray", ray_a, [ray_b])] if least <= most_apart else []) + [("A-ray-B", ray_a, pairs(b)), ("B-ray-A", ray_b, pairs(a))]
+    for mode, line, others in tries:
+        for other in others:
+            if hit := _meet(*line, *other):
+                return mode, *hit, end_a, end_b, least
+    return None, None, None, end_a, end_b, least
+
+
+def t_intersection(a: Column, b: Column) -> Column:
+    """Struct(mode, x, y, end_a, end_b, least) of two polylines, as ``t_meeting`` has it; null for lines of fewer than two points."""
+
+    def both(p: pd.Series, q: pd.Series) -> pd.DataFrame:
+        line = lambda v: [(w["x"], w["y"]) for w in v]
+        ok = lambda v: v is not None and len(v) > 1
+        rows = [t_meeting(line(x), line(y)) if ok(x) and ok(y) else (None,) * 6 for x, y in zip(p, q, strict=True)]
+        return pd.DataFrame(rows, columns=["mode", "x", "y", "end_a", "end_b", "least"]).astype({c: "float64" for c in ("x", "y", "least")})
+
+    return F.pandas_udf(both, "mode string, x double, y double, end_a string, end_b string, least double")(a, b)

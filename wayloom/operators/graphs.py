@@ -151,3 +151,50 @@ def leaf_nodes(edges: DataFrame) -> DataFrame:
     """node with one neighbour."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("o")).union(edges.select("dst", "src")).where("node <> o").distinct()
     return both.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+
+
+def best_targets(spark: SparkSession, edges: DataFrame, sources: DataFrame, targets: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """node, dist, hops_only: the targets (node) that can be reached, nearest first by weight; edges (src, dst, weight).
+
+    Edges without a usable weight (null, NaN, negative) don't count for the weighted ways. Targets that only ways over such edges
+    reach come after the others, by number of edges.
+    """
+    scratch = scratch or Scratch(spark, "targets")
+    good = edges.where("weight >= 0 and not isnan(weight)")
+    wanted = targets.select("node").distinct()
+    paths = shortest_paths(spark, good, sources, scratch).join(wanted, "node", "left_semi").select("node", "dist")
+    paths = scratch.cut(paths, "weighted")
+    left = wanted.join(paths, "node", "left_anti")
+    if not left.isEmpty():
+        hops = shortest_paths(spark, edges.withColumn("weight", F.lit(1.0)), sources, scratch).join(left, "node", "left_semi")
+        paths = paths.withColumn("hops_only", F.lit(False)).union(hops.select("node", "dist", F.lit(True)))
+        return paths.orderBy("hops_only", "dist", "node")
+    return paths.withColumn("hops_only", F.lit(False)).orderBy("dist", "node")
+
+
+def lane_terminals(edges: DataFrame, lanes: DataFrame) -> DataFrame:
+    """lane_id, starts, ends (sorted nodes): where a way may enter and leave each lane (lanes: lane_id; edges: src, dst, lane_id)."""
+    own = edges.join(lanes.select("lane_id").distinct(), "lane_id", "left_semi").groupBy("lane_id")
+    return own.agg(F.array_sort(F.collect_set("src")).alias("starts"), F.array_sort(F.collect_set("dst")).alias("ends"))
+
+
+def nodes_by_distance(nodes: DataFrame, x: float, y: float) -> DataFrame:
+    """node_id, dist, rank from 1: nodes (node_id, x, y) in order of distance from a place; ties by node_id."""
+    d = nodes.select("node_id", F.hypot(F.col("x") - x, F.col("y") - y).alias("dist"))
+    scratch = Scratch(nodes.sparkSession, "by-distance")
+    return number_rows(d, [F.col("dist"), F.col("node_id")], "rank", scratch)
+
+
+def path_length(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row total: the sum of the least weights between neighbours of a path (step, node)."""
+    nxt = path.select((F.col("step") - 1).alias("step"), F.col("node").alias("dst"))
+    best = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    return path.select("step", F.col("node").alias("src")).join(nxt, "step").join(best, ["src", "dst"]).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total"))
+
+
+def with_members(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Junction nodes (node_id) with cp_ids and lanes (sorted; empty without any) of the connection points (node_id, cp_id, lane_id) of their junction."""
+    own = members.groupBy("node_id").agg(F.array_sort(F.collect_set("cp_id")).alias("cp_ids"), F.array_sort(F.collect_set("lane_id")).alias("lanes"))
+    kinds = own.schema
+    none = lambda c: F.coalesce(c, F.array().cast(kinds[c].dataType)).alias(c)
+    return nodes.join(own, "node_id", "left").select(*nodes.columns, none("cp_ids"), none("lanes"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geodesy, polyline, predicate
-from wayloom.operators import attributes, dual, graphs, junctions, points, spatial
+from wayloom.operators import attributes, dual, graphs, junctions, points, spatial, views
 from wayloom.plans.scratch import Scratch
 from wayloom.sources import documents, fixtures, synthetic
 
@@ -534,6 +534,57 @@ def tile_intersection(spark, sf_dir) -> DataFrame:
     return synthetic.common_tiles([p.where(F.col("tile") % k == 0) for k in (2, 3, 5)], 25)
 
 
+# views, shapes and way ends
+
+_STREETS = "s AS (SELECT o_orderkey AS link_id, o_custkey % 700 AS u, 700 + o_orderkey % 900 AS v FROM orders)"
+
+
+def _street_nodes(spark, sf_dir) -> DataFrame:
+    s = fixtures.streets(spark, sf_dir)
+    n = s.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    return n.select("node_id", (F.col("node_id") % 30).cast("double").alias("x"), (F.col("node_id") % 17).cast("double").alias("y"))
+
+
+@query(f"""WITH {_STREETS}, l AS (SELECT * FROM s WHERE (u % 30 BETWEEN 3 AND 12 AND u % 17 BETWEEN 2 AND 9) OR (v % 30 BETWEEN 3 AND 12 AND v % 17 BETWEEN 2 AND 9))
+SELECT 'link' AS kind, link_id AS id FROM l UNION SELECT 'node', u FROM l UNION SELECT 'node', v FROM l""")
+def view_selection(spark, sf_dir) -> DataFrame:
+    nodes = _street_nodes(spark, sf_dir).withColumnsRenamed({"x": "lat", "y": "lon"})
+    links, ends = views.view(fixtures.streets(spark, sf_dir), nodes, (12.0, 2.0, 3.0, 9.0))
+    return links.select(F.lit("link").alias("kind"), F.col("link_id").alias("id")).union(ends.select(F.lit("node"), "node_id"))
+
+
+def _box(either: bool):
+    def run(spark, sf_dir) -> DataFrame:
+        edges = fixtures.streets(spark, sf_dir).select("link_id", F.col("u").alias("src"), F.col("v").alias("dst"))
+        return views.edges_in_box(edges, _street_nodes(spark, sf_dir), (3.0, 2.0, 12.0, 9.0), "either" if either else "both").select("link_id")
+
+    return run
+
+
+for _either, _name, _op in ((False, "edges_within_box", "AND"), (True, "edges_touching_box", "OR")):
+    QUERIES[_name] = _box(_either)
+    SQL[_name] = f"WITH {_STREETS} SELECT link_id FROM s WHERE (u % 30 BETWEEN 3 AND 12 AND u % 17 BETWEEN 2 AND 9) {_op} (v % 30 BETWEEN 3 AND 12 AND v % 17 BETWEEN 2 AND 9)"
+
+
+@query("""WITH p AS (SELECT l_orderkey AS line_id, (l_partkey % 100)::DOUBLE AS x, (l_suppkey % 50)::DOUBLE AS y FROM lineitem),
+m AS (SELECT *, avg(x) OVER (PARTITION BY line_id) AS mx, avg(y) OVER (PARTITION BY line_id) AS my FROM p),
+t AS (SELECT line_id, sum((x - mx) ** 2) AS xx, sum((x - mx) * (y - my)) AS xy, sum((y - my) ** 2) AS yy FROM m GROUP BY 1)
+SELECT line_id, round(1 - (yy - CASE WHEN xx > 0 THEN xy * xy / xx ELSE 0 END) / (yy + 1e-9), 5) AS r2 FROM t""")
+def polyline_straightness(spark, sf_dir) -> DataFrame:
+    l = fixtures.table(spark, sf_dir, "lineitem")
+    p = F.struct((F.col("l_partkey") % 100).cast("double").alias("x"), (F.col("l_suppkey") % 50).cast("double").alias("y"))
+    lines = l.groupBy(F.col("l_orderkey").alias("line_id")).agg(F.collect_list(p).alias("points"))
+    return lines.select("line_id", F.round(polyline.straightness(F.col("points")), 5).alias("r2"))
+
+
+@query(f"""WITH {_STREETS} SELECT u % 50 AS lane_id, string_agg(DISTINCT u::VARCHAR, ',' ORDER BY u::VARCHAR) AS starts, string_agg(DISTINCT v::VARCHAR, ',' ORDER BY v::VARCHAR) AS ends FROM s WHERE u % 50 < 20 GROUP BY 1""")
+def lane_terminals(spark, sf_dir) -> DataFrame:
+    e = fixtures.streets(spark, sf_dir).select((F.col("u") % 50).alias("lane_id"), F.col("u").alias("src"), F.col("v").alias("dst"))
+    found = graphs.lane_terminals(e, e.where("lane_id < 20"))
+    as_text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda v: v.cast("string"))), ",").alias(c)
+    return found.select("lane_id", as_text("starts"), as_text("ends"))
+
+
 # rows only: order-dependent or set-valued results, or too long for recursive SQL
 
 @query()

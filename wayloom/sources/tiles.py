@@ -12,6 +12,7 @@ import json
 from functools import reduce
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,9 +165,29 @@ def routing_items(tiles: DataFrame) -> DataFrame:
     return rows.withColumn("item_no", F.row_number().over(Window.partitionBy("link_id").orderBy("kind", "at"))).drop("at")
 
 
+def dotted(rows: DataFrame, key: str = "key", raw: str = "raw") -> DataFrame:
+    """``rows`` with each JSON object in ``raw`` taken apart into rows of its leaves, keys joined by dots; other values stay as they are."""
+    nested = F.col(raw).startswith("{")
+
+    def leaves(k: str, value) -> list[tuple[str, str]]:
+        out = []
+        for name, v in value.items():
+            out += leaves(f"{k}.{name}", v) if isinstance(v, dict) else [] if v is None else [(f"{k}.{name}", v if isinstance(v, str) else json.dumps(v))]
+        return out
+
+    def split(keys: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([[{"key": a, "value": b} for a, b in leaves(k, json.loads(v))] for k, v in zip(keys, values, strict=True)])
+
+    parts = F.pandas_udf(split, "array<struct<key:string,value:string>>")(F.col(key), F.col(raw))
+    rest = [c for c in rows.columns if c not in (key, raw)]
+    apart = rows.where(nested).withColumn("_e", F.explode(parts)).select(*rest, F.col("_e.key").alias(key), F.col("_e.value").alias(raw))
+    return rows.where(~nested).select(*rest, key, raw).unionByName(apart)
+
+
 def attribute_values(items: DataFrame) -> DataFrame:
-    """link_id, item_no, key, value (canonical): functional classes as FC_n, lists as several values."""
+    """link_id, item_no, key, value (canonical): functional classes as FC_n, lists as several values, the leaves of nested objects under dotted keys."""
     e = items.select("link_id", "item_no", F.explode("attrs").alias("e")).select("link_id", "item_no", "e.key", F.col("e.value").alias("raw")).where("raw is not null")
+    e = dotted(e)
     many = F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")).otherwise(F.array("raw"))
     e = e.select("link_id", "item_no", "key", F.explode(many).alias("raw"))
     number = F.col("raw").try_cast("double")
