@@ -34,7 +34,7 @@ MAX_COPIES = 3
 
 
 def uniform(key: str, doc_id: Column) -> Column:
-    """A number strictly between 0 and 1 from the first 52 bits of a keyed digest."""
+    """A number strictly between 0 and 1 from the first 48 bits of a keyed digest."""
     digest = F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 

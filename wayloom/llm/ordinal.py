@@ -108,7 +108,6 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, keep_a
     got = docs.join(F.broadcast(some), "doc_id").select("grade", "text").mapInArrow(rows, "grade int, i array<int>, v array<float>").toArrow()  # bounded by max_labelled
     grade = got.column("grade").to_numpy() if got.num_rows else np.zeros(0, np.int32)
     if len(np.unique(grade)) > 1:
-        # one order whatever the partitions were
         flat, vals = got.column("i").combine_chunks(), got.column("v").combine_chunks()
         w, t = fit(grade, flat.flatten().to_numpy(), vals.flatten().to_numpy().astype(float), np.array([len(x) for x in flat]), grades)
     else:
