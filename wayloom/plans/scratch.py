@@ -1,12 +1,14 @@
 """Written tables that cut lineage, in the folder the cluster shares.
 
 The folder is the one named in ``spark.checkpoint.dir``. Where that is unset
-(local tests) a temporary folder is made once for the session and set as its
-checkpoint folder.
+and the master is local (tests) a temporary folder is made once for the session, set as its
+checkpoint folder and removed when Python ends; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,9 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='wayloom-')}"
+        own = tempfile.mkdtemp(prefix="wayloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = f"file://{own}"
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
