@@ -30,17 +30,19 @@ class Limits:
 def secondary_components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
     """link_id, component (its first secondary link in the order of ids as text): every secondary link, alone or not.
 
-    Links and their road nodes are the vertices, so a node of d links has d edges, not d * d. As text,
-    links come before nodes: a component's least vertex is a link.
+    The links at a road node are joined to the least of them, so a node of d links has d edges, not d * d.
     """
     kind = links.schema["link_id"].dataType
-    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
     own = links.where(F.col("link_type") == SECONDARY)
-    alone = own.select(name("0", "link_id").alias("src"), name("0", "link_id").alias("dst"))
-    edges = link_ends(own).select(name("0", "link_id").alias("src"), name("1", "node").alias("dst")).union(alone)
-    found = connected_components(spark, edges, "src", "dst", scratch).where(F.startswith("id", F.lit("0")))
-    plain = lambda c: F.expr(f"substring({c}, 2)").cast(kind)
-    return found.select(plain("id").alias("link_id"), plain("component").alias("component"))
+    ends = link_ends(own).select("node", "link_id")
+    least = ends.groupBy("node").agg(F.min("link_id").alias("dst")).select(F.xxhash64("node").alias("k"), F.col("node").alias("n2"), "dst")
+    star = ends.withColumn("k", F.xxhash64("node")).join(least, "k").where("node = n2").select(F.col("link_id").alias("src"), "dst")
+    edges = star.union(own.select(F.col("link_id").alias("src"), F.col("link_id").alias("dst")))
+    found = scratch.cut(connected_components(spark, edges, "src", "dst", scratch), "labels")
+    first = found.groupBy("component").agg(F.min(F.col("id").cast("string")).alias("first"))
+    first = first.select(F.xxhash64("component").alias("k"), F.col("component").alias("c2"), "first")
+    named = found.withColumn("k", F.xxhash64("component")).join(first, "k").where("component = c2")
+    return named.select(F.col("id").alias("link_id"), F.col("first").cast(kind).alias("component"))
 
 
 def component_boundary(links: DataFrame, components: DataFrame) -> DataFrame:
