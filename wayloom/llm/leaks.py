@@ -63,27 +63,34 @@ def seeds_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
-    """Smith-Waterman over words: (score, item words matched, start, end of the text's part)."""
-    m, n = len(item), len(text)
-    eq = item[:, None] == text[None, :]
-    score = np.zeros((m + 1, n + 1), np.int32)
-    ramp = np.arange(n + 1) * gap
-    for i in range(1, m + 1):
-        row = np.zeros(n + 1, np.int32)
-        row[1:] = np.maximum(score[i - 1, :-1] + np.where(eq[i - 1], match, miss), score[i - 1, 1:] + gap)
-        np.maximum(row, 0, out=row)
-        score[i] = np.maximum.accumulate(row - ramp) + ramp  # gaps in the item: a running maximum
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    best, end, matched = int(score[i, j]), int(j), 0
-    while i and j and score[i, j]:
-        if score[i, j] == score[i - 1, j - 1] + (match if eq[i - 1, j - 1] else miss):
-            matched += bool(eq[i - 1, j - 1])
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return best, matched, int(j), end
+    """Smith-Waterman over words: (score, item words matched, start, end of the text's part).
+
+    One row of the matrix is held: each cell carries where its best way began and how many words it has
+    matched, so memory follows the text's length alone. Of equal ways a pair of words goes before a gap.
+    """
+    n = len(text)
+    at = np.arange(n + 1)
+    ramp = at * gap
+    score, matched, begin = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), at.copy()
+    best = (0, 0, 0, 0)
+    for word in item:
+        eq = text == word
+        pair = score[:-1] + np.where(eq, match, miss)
+        row = np.maximum(score + gap, 0)
+        row[0] = 0
+        np.maximum(row[1:], pair, out=row[1:])
+        new = np.maximum.accumulate(row - ramp) + ramp  # gaps in the item: a running maximum
+        paired = pair == new[1:]
+        m, b = matched.copy(), begin.copy()
+        m[1:] = np.where(paired, matched[:-1] + eq, matched[1:])
+        b[1:] = np.where(paired, begin[:-1], begin[1:])
+        m[new == 0], b[new == 0] = 0, at[new == 0]
+        source = np.maximum.accumulate(np.where(row == new, at, 0))  # where the gap before a cell begins
+        score, matched, begin = new, m[source], b[source]
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = (int(score[j]), int(matched[j]), int(begin[j]), j)
+    return best
 
 
 def word_counts(docs: DataFrame, wanted: np.ndarray) -> tuple[dict[int, int], int]:
