@@ -13,7 +13,9 @@ The model is fitted on the driver to at most ``max_labelled`` labelled rows
 (by hash of the doc_id); all texts are scored whole where they lie. Null or
 empty texts have no features and get the thresholds' own probabilities, and
 aren't kept. Repeated rows are scored alike; labels that repeat a doc_id count
-with their least grade. Without two different grades all texts get the prior.
+with their least grade, and of rated rows that repeat a doc_id the least text
+is learnt from, in the order of the ids, so the fit neither grows with repeated
+rows nor depends on where they lie. Without two different grades all texts get the prior.
 Other columns aren't read.
 """
 
@@ -91,21 +93,23 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, keep_a
 
     def rows(batches):
         for batch in batches:
-            grade, keep, index, value, count = batch.column("grade").to_pylist(), [], [], [], []
+            own, grade, keep, index, value, count = batch.column("doc_id").to_pylist(), batch.column("grade").to_pylist(), [], [], [], []
             for i, j, a, off in blocks(batch.column("text")):
                 word, shape, first = block_features(a, off)
                 for k in range(j - i):
                     s, e = first[k], first[k + 1]
                     if e > s:
                         u, c = np.unique(np.concatenate([word[s:e], shape[s:e]]), return_counts=True)
-                        keep.append(grade[i + k])
+                        keep.append((own[i + k], grade[i + k]))
                         index.append(u.astype(np.int32))
                         value.append((c / (e - s)).astype(np.float32))
                         count.append(len(u))
             if count:
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), flat_list(np.concatenate(index), np.array(count), pa.int32()), flat_list(np.concatenate(value), np.array(count), pa.float32())], names=["grade", "i", "v"])
+                at, keep = zip(*keep, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(keep, pa.int32()), flat_list(np.concatenate(index), np.array(count), pa.int32()), flat_list(np.concatenate(value), np.array(count), pa.float32())], names=["doc_id", "grade", "i", "v"])
 
-    got = docs.join(F.broadcast(some), "doc_id").select("grade", "text").mapInArrow(rows, "grade int, i array<int>, v array<float>").toArrow()  # bounded by max_labelled
+    rated = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # at most max_labelled rows
+    got = rated.mapInArrow(rows, "doc_id long, grade int, i array<int>, v array<float>").toArrow().sort_by("doc_id")
     grade = got.column("grade").to_numpy() if got.num_rows else np.zeros(0, np.int32)
     if len(np.unique(grade)) > 1:
         flat, vals = got.column("i").combine_chunks(), got.column("v").combine_chunks()
