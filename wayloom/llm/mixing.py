@@ -9,9 +9,10 @@ words of the rest are reached. Inclusion probabilities differ: they fall with
 the fourth root of the size, so that few very long texts don't make up a
 sample.
 
-Only sums move between machines. Ranks are first cut into bins; a source's
-words by bin show the bin in which its sample ends, and only that bin is
-ranked row by row.
+Only sums move between machines. Ranks are cut into bins, and bins into as
+many finer ones; a source's words by bin show the bin in which its sample
+ends, those of that bin's parts the part, and only that part, one in
+``bins`` ** 2, is ranked row by row.
 
 Rows with a null text or no words have size 0 and take 0. Sources are ordered
 by code point with null last. Rows that repeat a doc_id draw the same u and
@@ -68,6 +69,15 @@ def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def _end(rows: DataFrame, bin_: str, before: Column) -> DataFrame:
+    """e_source, e_bin, e_before: the bin in which a source's words, after ``before``, reach its rest, and the words before that bin."""
+    known = before.cast("long").alias("before")
+    by_bin = rows.groupBy("source", "rest", F.col(bin_).alias("b"), known).agg(F.sum("size").alias("words"))
+    run = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("b"))
+    return (by_bin.withColumn("until", run).where(F.col("until") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("b", "until", "words")).alias("e"))
+            .select(F.col("source").alias("e_source"), F.col("e.b").alias("e_bin"), (F.col("e.until") - F.col("e.words")).alias("e_before")))
+
+
 def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), copies: int = MAX_COPIES, key: str = "mix-1",
                bins: int = BINS, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken, after the columns ``carry`` of ``docs``: a row for each row of ``docs``."""
@@ -86,13 +96,12 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), copies:
     p = F.least(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-6)), F.lit(1 - 1e-6))
     u = uniform(key, F.col("doc_id"))
     rank = (u / (1 - u)) / (p / (1 - p))
-    ranked = ranked.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (F.col("rank") + 1) * bins).cast("int"))
+    ranked = ranked.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (F.col("rank") + 1) * (bins * bins)).cast("long"))
     ranked = scratch.cut(ranked, "ranked")
-    by_bin = ranked.where("size > 0 and rest > 0").groupBy("source", "bin", "rest").agg(F.sum("size").alias("words"))
-    run = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    ends = (by_bin.withColumn("until", run).where(F.col("until") >= F.col("rest")).groupBy("source")
-            .agg(F.min(F.struct("bin", F.col("until"), "words")).alias("e"))
-            .select(F.col("source").alias("e_source"), F.col("e.bin").alias("e_bin"), (F.col("e.until") - F.col("e.words")).alias("e_before")))
+    drawn_from = ranked.where("size > 0 and rest > 0").select("source", "rest", "size", "bin", F.floor(F.col("bin") / bins).alias("coarse"))
+    ends = scratch.cut(_end(drawn_from, "coarse", F.lit(0)), "ends")
+    fine = drawn_from.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("coarse") == F.col("e_bin")))
+    ends = _end(fine, "bin", F.col("e_before"))
     placed = ranked.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left")
     last = placed.where(F.col("bin") == F.col("e_bin")).where("size > 0")
     within = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0))
