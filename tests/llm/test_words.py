@@ -73,3 +73,14 @@ def test_packed_indices_round_trip():
         x = np.array([0, top, top // 2, 1 if top else 0])
         assert _unpack_index(_pack_index(x)).tolist() == x.tolist()
     assert len(_unpack_index(_pack_index(np.zeros(0, np.int64)))) == 0
+
+
+def test_positions_by_shard():
+    from wayloom.llm.ngramlm import by_shard
+
+    r = np.random.default_rng(2)
+    for shards in (1, 7, 300, 1 << 17):
+        shard = r.integers(0, shards, 2000)
+        got = list(by_shard(shard))
+        assert [s for s, _ in got] == sorted(set(shard.tolist())) and all((own == np.flatnonzero(shard == s)).all() for s, own in got)
+    assert list(by_shard(np.zeros(0, np.int64))) == []

@@ -103,9 +103,7 @@ class _Block:
         train = np.repeat(~self.held_out, self.n_tokens)
         count = np.bincount(self.index[train], minlength=v)
         count_start = int((~self.held_out).sum())
-        shard = word_shard(self.words, shards)
-        for s in range(shards):
-            own = np.flatnonzero(shard == s)
+        for s, own in by_shard(word_shard(self.words, shards)):
             own = own[self.words[own] != U(_START)]
             if len(own):
                 small, large = _pack_counts(count[own])
@@ -113,14 +111,12 @@ class _Block:
         pair, of = self.pairs()
         pair_count = np.bincount(of[train], minlength=len(pair))
         ctx, suc = self.words[pair // v] >> U(32), self.words[pair % v] >> U(32)
-        shard = pair_shard(ctx, suc, shards, spread)
-        for s in range(shards):
-            own = np.flatnonzero(shard == s)
-            if len(own):
-                head = np.flatnonzero(np.append(True, ctx[own][1:] != ctx[own][:-1]))
-                small, large = _pack_counts(pair_count[own])
-                yield (2, self.key, s, ctx[own][head].astype(np.uint32).tobytes(), np.diff(np.append(head, len(own))).astype(np.uint32).tobytes(),
-                       suc[own].astype(np.uint32).tobytes(), small, large)
+        for s, own in by_shard(pair_shard(ctx, suc, shards, spread)):
+            c = ctx[own]
+            head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            small, large = _pack_counts(pair_count[own])
+            yield (2, self.key, s, c[head].astype(np.uint32).tobytes(), np.diff(np.append(head, len(own))).astype(np.uint32).tobytes(),
+                   suc[own].astype(np.uint32).tobytes(), small, large)
         yield 3, self.key, -1 - self.key % 16, np.int64(count_start).tobytes(), None, None, None, None
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +140,17 @@ def pair_shard(ctx: np.ndarray, suc: np.ndarray, shards: int, spread: int) -> np
     return ((mix(ctx) % U(shards) + mix(suc + U(1)) % U(spread)) % U(shards)).astype(np.int64)
 
 
+def by_shard(shard: np.ndarray):
+    """(shard, positions in order) for each shard that has any: one sort, however many shards there are."""
+    if not len(shard):
+        return
+    order = np.argsort(shard.astype(np.uint16) if shard.max() < 1 << 16 else shard, kind="stable")  # short keys sort in linear time
+    own = shard[order]
+    head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    for s, e in zip(head, np.append(head[1:], len(own)), strict=True):
+        yield int(own[s]), order[s:e]
+
+
 def _blocks(batches):
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
@@ -215,17 +222,17 @@ def _scorer(shards: int, spread: int, total: int, distinct: int, starts: int, pr
         b.start = int(np.searchsorted(words, U(_START)))
         v = len(words)
         count = np.zeros(v, np.int64)
-        shard = word_shard(words, shards)
-        real = words != U(_START)
+        real = np.flatnonzero(words != U(_START))
+        own = dict(by_shard(word_shard(words[real], shards)))
         for r in rows:
             if r["kind"] == 1:
-                count[np.flatnonzero((shard == r["shard"]) & real)] = np.frombuffer(r["a"], np.int64)
+                count[real[own[r["shard"]]]] = np.frombuffer(r["a"], np.int64)
         pair, of = b.pairs()
         code = np.zeros(len(pair), np.uint8)
-        shard = pair_shard(words[pair // v] >> U(32), words[pair % v] >> U(32), shards, spread)
+        own = dict(by_shard(pair_shard(words[pair // v] >> U(32), words[pair % v] >> U(32), shards, spread)))
         for r in rows:
             if r["kind"] == 2:
-                code[np.flatnonzero(shard == r["shard"])] = np.frombuffer(r["a"], np.uint8)
+                code[own[r["shard"]]] = np.frombuffer(r["a"], np.uint8)
         p1 = (count + 0.5) / (total + 0.5 * (distinct + 1))
         context = count.astype(float)
         context[b.start] = starts
