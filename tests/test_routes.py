@@ -91,3 +91,26 @@ def test_stream_counts(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.link_type, r.n_items) for r in got] == [(1, 2)]
+
+
+def test_snapping_has_no_limit_unless_asked(spark):
+    rows = [(1, [(0.0, 0.0), (5000.0, 0.0)]), (2, [(0.0, 40.0), (10.0, 40.0)]), (3, [(0.0, 90000.0), (0.0, 90010.0)])]
+    lines = spark.createDataFrame(rows, LINE)
+    q = spark.createDataFrame([(1, 4000.0, 12.0), (2, 2500.0, 7000.0), (3, 0.0, 89000.0), (4, None, 1.0)], "query_id long, px double, py double")
+    got = [(r.query_id, r.lane_id, round(r.dist, 3), r["rank"]) for r in routing.snap_to_lanes(q, lines, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 12.0, 1), (1, 2, 3990.098, 2), (2, 1, 7000.0, 1), (2, 2, 7392.002, 2), (3, 3, 1000.0, 1), (3, 2, 88960.0, 2)]
+    assert [(r.query_id, r.lane_id) for r in routing.snap_to_lanes(q, lines, 2, radius=50.0).collect()] == [(1, 1)]
+    assert {r.query_id for r in routing.snap_to_lanes(q, lines, 9).groupBy("query_id").count().where("count = 3").collect()} == {1, 2, 3}
+    assert routing.snap_to_lanes(q, lines.limit(0), 2).count() == 0
+
+
+def test_route_without_limit_and_from_nodes(spark, network):
+    lines, edges = network
+    got = routing.route(spark, (130.0, 4.0), (9000.0, 0.0), lines, edges, radius=None).orderBy("step").collect()
+    assert [(r.src, r.dst) for r in got] == [(1, 2), (2, 3), (3, 4), (4, 5)]
+    nodes = spark.createDataFrame([(k, 100.0 * k, 0.0) for k in range(1, 6)] + [(77, 60.0, 500.0)], "node_id long, x double, y double")
+    bare = lines.unionByName(spark.createDataFrame([(50, [(0.0, 495.0), (100.0, 495.0)])], LINE))
+    got = routing.route(spark, (60.0, 500.0), (490.0, -20.0), bare, edges, nodes=nodes).orderBy("step").collect()  # lane 50 and node 77 aren't in the graph
+    assert [(r.src, r.dst) for r in got] == [(1, 2), (2, 3), (3, 4), (4, 5)]
+    with pytest.raises(LookupError):
+        routing.route(spark, (60.0, 500.0), (490.0, -20.0), bare, edges)

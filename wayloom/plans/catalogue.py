@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geodesy, polyline, predicate
-from wayloom.operators import attributes, dual, graphs, junctions, points, spatial, views
+from wayloom.operators import attributes, dual, graphs, junctions, points, routing, spatial, views
 from wayloom.plans.scratch import Scratch
 from wayloom.sources import documents, fixtures, synthetic
 
@@ -459,6 +459,31 @@ def point_polyline_projection(spark, sf_dir) -> DataFrame:
     return spatial.project_points(pairs, "q_id").select("q_id", "line_id", F.round("dist", 6).alias("dist"), F.round("frac", 6).alias("frac"))
 
 
+_SNAP = f"""WITH {LINKS}, l AS (SELECT link_id, x AS ax, y AS ay, x + 60 AS bx, y + 30 AS byy FROM links),
+q AS (SELECT p_partkey AS query_id, (p_partkey * 37 % 14000)::DOUBLE AS px, (p_partkey * 91 % 25000)::DOUBLE AS py FROM part WHERE p_partkey % 20 = 0),
+t AS (SELECT *, greatest(0, least(1, ((px - ax) * 60 + (py - ay) * 30) / 4500.0)) AS t FROM q, l),
+d AS (SELECT *, sqrt((px - ax - t * 60) ** 2 + (py - ay - t * 30) ** 2) AS dist FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, link_id) AS rank FROM d)
+SELECT query_id, link_id AS lane_id, round(dist, 6) AS dist, round(t, 6) AS frac, rank FROM r WHERE rank <= {{k}}"""
+
+
+def _snapped(spark, sf_dir, k: int) -> DataFrame:
+    links, p = fixtures.road_links(spark, sf_dir), F.col("p_partkey")
+    lines = links.select(F.col("link_id").alias("line_id"), F.array(F.struct("x", "y"), F.struct((F.col("x") + 60).alias("x"), (F.col("y") + 30).alias("y"))).alias("points"))
+    q = fixtures.table(spark, sf_dir, "part").where(p % 20 == 0).select(p.alias("query_id"), (p * 37 % 14000).cast("double").alias("px"), (p * 91 % 25000).cast("double").alias("py"))
+    return routing.snap_to_lanes(q, lines, k).select("query_id", "lane_id", F.round("dist", 6).alias("dist"), F.round("frac", 6).alias("frac"), "rank")
+
+
+@query(_SNAP.format(k=1))
+def snap_nearest_lane(spark, sf_dir) -> DataFrame:
+    return _snapped(spark, sf_dir, 1)
+
+
+@query(_SNAP.format(k=4))
+def snap_closest_lanes(spark, sf_dir) -> DataFrame:
+    return _snapped(spark, sf_dir, 4)
+
+
 # connection points
 
 _CP = """cp AS (SELECT vec_id AS cp_id, label::BIGINT AS node_id, vec_id % 7 AS link_id, CASE WHEN vec_id % 2 = 0 THEN 'start' ELSE 'end' END AS link_end, floor(embedding[1]::DOUBLE * 100) AS x, floor(embedding[2]::DOUBLE * 100) AS y,
