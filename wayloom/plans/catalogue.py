@@ -692,8 +692,12 @@ def convex_hull(spark, sf_dir) -> DataFrame:
 
 
 def queries() -> dict:
+    from wayloom.plans import shapes  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from wayloom.plans import shapes  # noqa: F401
+
     return dict(SQL)
