@@ -315,12 +315,13 @@ def test_ngram_scores(docs, empty):
 
     tokens = {i: WORD.findall(lower(t)) + [None] for i, t in TEXTS.items()}
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    c, c2, starts = collections.Counter(), collections.Counter(), 0
+    c, c2, c3, starts = collections.Counter(), collections.Counter(), collections.Counter(), 0
     for i, w in tokens.items():
         if not held(i):
             c.update(w)
             starts += 1
             c2.update(zip(["<s>", *w], w))
+            c3.update(zip(["<s>", *w], w, w[1:]))
     n, v = sum(c.values()), len(c)
     p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
     ctx = lambda w: starts if w == "<s>" else c[w]
@@ -331,7 +332,9 @@ def test_ngram_scores(docs, empty):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in w), rel=1e-9)
         held_as = lambda x: float(restore(quantise(np.array([x])))[0])
-        full = sum(math.log10((min(held_as(c2[a, b]), ctx(a)) + PRIOR * p1(b)) / (ctx(a) + PRIOR)) for a, b in zip(["<s>", *w], w))
+        p2 = lambda a, b: (min(held_as(c2[a, b]), ctx(a)) + PRIOR * p1(b)) / (ctx(a) + PRIOR)
+        p3 = lambda a, b, d: (min(held_as(c3[a, b, d]), held_as(c2[a, b])) + PRIOR * p2(b, d)) / (held_as(c2[a, b]) + PRIOR)
+        full = math.log10(p2("<s>", w[0])) + sum(math.log10(p3(*x)) for x in zip(["<s>", *w], w, w[1:]))
         assert r.score == pytest.approx(full, rel=1e-9)
     assert ngram_scores(empty).count() == 0
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wayloom.llm.eliasfano import EliasFano, Trie, quantise, restore
+from wayloom.llm.eliasfano import EliasFano, Trie, pack_sorted, quantise, restore, unpack_sorted
 from wayloom.llm.words import blocks, grams, hash_spans, inside, run_sums, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,6 +46,13 @@ def test_elias_fano_round_trip_and_successor(values, universe):
     assert [i >= 0 for i in e.find(asked)] == [int(x) in values for x in asked]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, (1 << 44) - 1), max_size=200), st.integers(1, 40))
+def test_sorted_lists_round_trip(values, times):
+    values = np.array(sorted(values * times), np.uint64)
+    assert unpack_sorted(pack_sorted(values, 1 << 44)).tolist() == values.tolist()
+
+
 def test_trie_finds_what_was_stored():
     r = random.Random(1)
     pairs = sorted({(r.randrange(200) << 32) | r.randrange(300) for _ in range(4000)})

@@ -141,50 +141,73 @@ def restore(code: np.ndarray) -> np.ndarray:
     return _STEPS[code].astype(float)
 
 
+def pack_sorted(values: np.ndarray, universe: int) -> bytes:
+    """A monotone list to send: Elias-Fano parts without the running counts that only a search needs."""
+    values = np.asarray(values, U)
+    n = len(values)
+    width = max(0, (universe // max(n, 1)).bit_length() - 1)
+    place = (values >> U(width)).astype(np.int64) + np.arange(n)
+    high = np.zeros(int(place[-1]) + 1 if n else 0, np.uint8)
+    high[place] = 1
+    low = _pack(values & U((1 << width) - 1), width).view(np.uint8)[: -(-n * width // 8)]
+    return struct.pack("<QB", n, width) + low.tobytes() + np.packbits(high, bitorder="little").tobytes()
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", packed)
+    size = -(-n * width // 8)
+    low = np.zeros(n * width // 64 + 2, U)
+    low.view(np.uint8)[:size] = np.frombuffer(packed, np.uint8, size, 9)
+    place = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, -1, 9 + size), bitorder="little"))[:n]
+    e = EliasFano.__new__(EliasFano)
+    e.width, e.low = width, low
+    i = np.arange(n, dtype=np.int64)
+    return ((place - i).astype(U) << U(width)) | e._low(i)
+
+
 class Trie:
-    """Two levels: contexts, and the successors of each context.
+    """The contexts of one length and the successors of each.
 
-    Contexts and successors are sorted lists of word hashes. A successor is stored
-    relative to its context: its rank among the level's words, from the context's
-    base on, which makes the level one monotone list; a monotone pointer per context
-    bounds its successors, within which a successor search looks for a rank.
+    A key is a context's hash followed by ``low`` bits for a word after it. Contexts are a
+    sorted list; a monotone pointer per context bounds its successors, which are stored
+    relative to it (the context's rank, then the low bits: one monotone list) and looked
+    for by a successor search within the pointers.
     """
 
-    HEAD = struct.Struct("<QQ")
+    HEAD = struct.Struct("<QQQ")
 
     def __init__(self, buffer):
-        self.m, self.n = self.HEAD.unpack_from(buffer, 0)
+        self.m, self.n, low = self.HEAD.unpack_from(buffer, 0)
+        self.low = U(low)
         self.context = EliasFano(buffer, self.HEAD.size)
-        self.word = EliasFano(buffer, self.context.end)
-        self.pointer = EliasFano(buffer, self.word.end)
+        self.pointer = EliasFano(buffer, self.context.end)
         self.successor = EliasFano(buffer, self.pointer.end)
         self.code = np.frombuffer(buffer, np.uint8, self.n, self.successor.end)
 
     @classmethod
-    def build(cls, pairs: np.ndarray, count: np.ndarray) -> bytes:
-        """From sorted distinct pairs (context hash in the high 32 bits, word hash in the low) and their counts."""
-        ctx, suc = pairs >> U(32), pairs & U(0xFFFFFFFF)
-        head = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(pairs) else np.zeros(0, np.int64)
-        contexts, words = ctx[head], np.unique(suc)
-        rank = np.searchsorted(words, suc).astype(U)
-        base = np.repeat(np.arange(len(head), dtype=U), np.diff(np.append(head, len(pairs)))) * U(max(len(words), 1))
-        parts = [EliasFano.encode(contexts, 1 << 32), EliasFano.encode(words, 1 << 32), EliasFano.encode(np.append(head, len(pairs)), len(pairs) + 1),
-                 EliasFano.encode(base + rank, max(1, len(head) * len(words)))]
-        return cls.HEAD.pack(len(head), len(pairs)) + b"".join(parts) + quantise(count).tobytes()
-
-    def lookup(self, pairs: np.ndarray) -> np.ndarray:
-        """Code of each pair; 0 where it wasn't seen."""
-        out = np.zeros(len(pairs), np.uint8)
-        if not len(pairs) or not self.n:
+    def build(cls, keys: np.ndarray, count: np.ndarray, low: int = 32, bits: int = 64) -> bytes:
+        """From sorted distinct keys of ``bits`` bits and their counts."""
+        ctx, suc = keys >> U(low), keys & U((1 << low) - 1)
+        head = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(keys) else np.zeros(0, np.int64)
+        rank = np.repeat(np.arange(len(head), dtype=U), np.diff(np.append(head, len(keys))))
+        parts = [EliasFano.encode(ctx[head], 1 << (bits - low)), EliasFano.encode(np.append(head, len(keys)), len(keys) + 1),
+                 EliasFano.encode(rank << U(low) | suc, max(1, len(head)) << low)]
+        return cls.HEAD.pack(len(head), len(keys), low) + b"".join(parts) + quantise(count).tobytes()
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Code of each key; 0 where it wasn't seen. Runs of one context look for it once."""
+        out = np.zeros(len(keys), np.uint8)
+        if not len(keys) or not self.n:
             return out
-        heads, of = np.unique(pairs >> U(32), return_inverse=True)
-        c = self.context.find(heads)
-        words, to = np.unique(pairs & U(0xFFFFFFFF), return_inverse=True)
-        w = self.word.find(words)
+        ctx = keys >> self.low
+        head = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+        of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+        c = self.context.find(ctx[head])
         known = np.maximum(c, 0)
         lo, hi = self.pointer[known].astype(np.int64), self.pointer[known + 1].astype(np.int64)
-        ok = np.flatnonzero((c[of] >= 0) & (w[to] >= 0))
-        x = c[of[ok]].astype(U) * U(max(self.word.n, 1)) + w[to[ok]].astype(U)
-        at = self.successor.find(x, lo[of[ok]], hi[of[ok]])
+        ok = np.flatnonzero(c[of] >= 0)
+        of = of[ok]
+        x = c[of].astype(U) << self.low | keys[ok] & U((1 << int(self.low)) - 1)
+        at = self.successor.find(x, lo[of], hi[of])
         out[ok[at >= 0]] = self.code[at[at >= 0]]
         return out
