@@ -186,6 +186,54 @@ def test_graph_document_round_trip(spark, tmp_path):
         documents.read_graph(spark, str(tmp_path / "bad.json"))[0].collect()
 
 
+def test_documents_hold_all_their_parts(spark, tmp_path):
+    from wayloom.sources import documents
+
+    xy_ = "array<struct<x:double,y:double>>"
+    shape = f"idx int, link_id long, link_type int, neighbours array<int>, points {xy_}, x0 double, y0 double, x1 double, y1 double"
+    rows = spark.createDataFrame([(0, 10, 2, [1, 2], [(0.0, 1.0)], 7.0, 7.5, 8.0, 8.5), (1, 100, 1, [0], [(1.0, 1.0), (2.0, 2.0), (3.0, 4.0)], None, 1.0, 1.0, 1.0), (2, 9, 2, [0], [], None, None, None, None)], shape)
+    around = spark.createDataFrame([(5, [(0.0, 0.0), (1.0, 2.0)]), (4, [(9.0, 9.0)]), (3, [(4.0, 4.0), (5.0, 5.0), (6.0, 7.0)])], f"link_id long, points {xy_}")
+    doc = json.loads(documents.graph_document(rows, "c", around, ramp_only=False, seconds=1.5).first().value)
+    assert len(doc) == 24
+    assert doc["classification"] == {"ramp_only": False, "num_secondary_ids": 2, "num_primary_ids": 1}
+    assert doc["summary"] == {"num_dual_vertices": 3, "num_dual_directed_edges": 4, "num_background_links": 2, "export_time_s": 1.5}
+    assert (doc["row_offsets"], doc["point_offsets"], doc["point_x"]) == ([0, 2, 3, 4], [0, 1, 4, 4], [0.0, 1.0, 2.0, 3.0])
+    assert [doc[f"link_plot_{c}"] for c in documents.ENDS] == [[7.0, 1.0, "NaN"], [7.5, 1.0, "NaN"], [8.0, 3.0, "NaN"], [8.5, 4.0, "NaN"]]
+    assert (doc["background_link_ids"], doc["background_point_offsets"], doc["background_plot_y1"]) == ([3, 5], [0, 3, 5], [7.0, 2.0])
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps(doc))
+    ends = lambda r: (r.x0, r.y0, r.x1, r.y1)
+    v = {r.link_id: r for r in documents.read_graph(spark, str(path))[0].collect()}
+    assert ends(v[10]) == (7.0, 7.5, 8.0, 8.5) and ends(v[100]) == (1.0, 1.0, 3.0, 4.0) and math.isnan(v[9].x0)
+    assert {r.link_id: ends(r) for r in documents.read_background(spark, str(path)).collect()} == {3: (4.0, 4.0, 6.0, 7.0), 5: (0.0, 0.0, 1.0, 2.0)}
+    old = {k: x for k, x in doc.items() if "plot" not in k}  # without ends: those of the points, else 0
+    path.write_text(json.dumps(old))
+    v = {r.link_id: ends(r) for r in documents.read_graph(spark, str(path))[0].collect()}
+    assert v == {10: (0.0,) * 4, 100: (1.0, 1.0, 3.0, 4.0), 9: (0.0,) * 4}
+    path.write_text(json.dumps({**doc, "link_plot_y1": [1.0]}))
+    with pytest.raises(Exception, match="plot arrays"):
+        documents.read_graph(spark, str(path))[0].collect()
+    empty = json.loads(documents.graph_document(rows.limit(0), "c").first().value)
+    assert empty["row_offsets"] == [0] and empty["background_point_offsets"] == [0] and empty["num_links"] == 0
+
+
+def test_junction_document(spark):
+    from wayloom.operators.junctions import link_roles
+    from wayloom.sources import documents
+
+    found = spark.createDataFrame([(2, 30, [30], [31]), (1, 10, [10, 12], [11])], "junction_id long, seed_link_id long, secondary_ids array<long>, primary_ids array<long>")
+    ends = spark.createDataFrame([(i, float(i), 0.0, i + 1.0, 0.5) for i in (10, 11, 12, 30)], "link_id long, x0 double, y0 double, x1 double, y1 double")
+    lines = documents.plot_lines(ends)
+    doc = json.loads(documents.junction_document(found, link_roles(found), lines, lines.where("link_id < 12"), 5, 8, "c", 2.0).first().value)
+    assert doc["summary"] == {"num_dual_vertices": 5, "num_dual_directed_edges": 8, "num_junctions": 2, "runtime_s": 2.0}
+    a, b = doc["interchanges"]
+    assert (a["id"], a["seed_link_id"], a["all_link_ids"], a["graph"]["nodes"]) == (1, 10, [10, 11, 12], [])
+    assert [(e["u"], e["v"], e["role"]) for e in a["graph"]["edges"]] == [(20, 21, "ramp"), (22, 23, "main"), (24, 25, "ramp")]
+    assert a["graph"]["edges"][0]["polyline"] == [[10.0, 0.0], [11.0, 0.5]]
+    assert [e["link_id"] for e in b["graph"]["edges"]] == [30]  # 31 isn't in the graph
+    assert [(e["link_id"], "role" in e) for e in doc["background_graph"]["edges"]] == [(10, False), (11, False)]
+
+
 def test_tiles(spark, tmp_path):
     from wayloom.sources import tiles
 

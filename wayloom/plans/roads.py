@@ -47,6 +47,15 @@ def graph_from_tiles(spark: SparkSession, config: dict, ramp_only: bool = True,
     return scratch.cut(dual.link_types(tiles.link_rows(links, lat0, lon0, h0), secondary, primary), "graph")
 
 
+def graph_rows(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of a graph document from links with points: idx, link_id, link_type, neighbours (as indices, ascending), points."""
+    index = scratch.cut(dual.dense_index(links, scratch).select("link_id", "link_type", "points", F.col("idx").cast("int").alias("idx")), "indexed")
+    edges = dual.dual_edges(links)
+    to = index.select(F.col("link_id").alias("dst"), F.col("idx").alias("to"))
+    near = edges.join(to, "dst").groupBy(F.col("src").alias("link_id")).agg(F.array_sort(F.collect_list("to")).alias("neighbours"))
+    return index.join(near, "link_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<int>")))
+
+
 def junctions_from_tiles(spark: SparkSession, config: dict, ramp_only: bool = True, limits: junctions.Limits = junctions.Limits()) -> junctions.Detection:
     g = graph_from_tiles(spark, config, ramp_only)
     points = g.select("link_id", F.posexplode("points").alias("pos", "p")).select("link_id", "pos", "p.x", "p.y")

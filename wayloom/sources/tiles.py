@@ -252,6 +252,40 @@ def lane_attribute_items(tiles: DataFrame) -> DataFrame:
     return t.select("group_id", "lane_no", direction.alias("direction"), get("a", "$.lane_type").alias("lane_type"), get("a", "$.lane_width_profile").alias("width_profile"), get("a", "$.lane_within_intersection", "boolean").alias("in_intersection"), r["s0"].alias("s0"), r["s1"].alias("s1"))
 
 
+def _group_id():
+    return _id(F.coalesce(get("g", "$.lane_group_ref.lane_group_id"), get("g", "$.lane_group_ref")))
+
+
+def _range_of(v: str) -> Column:
+    from wayloom.operators.attributes import range_of
+
+    return range_of(*[get(v, f"$.applies_to_range.{k}") for k in ("start", "end", "range_offset_from_start", "range_offset_from_end")])
+
+
+def boundary_marking_items(tiles: DataFrame) -> DataFrame:
+    """group_id, boundary_no, s0, s1, marking (its JSON): one row a marking of a lane group's boundary.
+
+    A boundary's parametric attribution counts, and its point attribution where that is missing or empty. Boundaries without a number
+    and items without a marking have no row; equal markings are kept as often as they are said.
+    """
+    t = _each(tiles, "$.lane_group_attribution", "g").select(_group_id().alias("group_id"), F.explode(get("g", "$.lane_boundary_attribution", "array<variant>")).alias("b"))
+    said, else_ = (get("b", f"$.{k}", "array<variant>") for k in ("parametric_attribution", "lane_boundary_point_attribution"))
+    t = t.select("group_id", get("b", "$.lane_boundary_number", "int").alias("boundary_no"), F.explode(F.when(F.size(said) > 0, said).otherwise(else_)).alias("p"))
+    items = "$.lane_boundary_parametric_attribution"
+    t = t.select("group_id", "boundary_no", "p", F.explode(F.coalesce(get("p", items, "array<variant>"), F.array(get("p", items, "variant")))).alias("a"))
+    r = _range_of("p")
+    t = t.select("group_id", "boundary_no", r["s0"].alias("s0"), r["s1"].alias("s1"), get("a", "$.lane_boundary_marking").alias("marking"))
+    return t.where("group_id <> '' and boundary_no is not null and marking is not null")
+
+
+def group_parameter_items(tiles: DataFrame) -> DataFrame:
+    """group_id, s0, s1, parameter (its JSON): one row a parametric item of a whole lane group, as often as it is said."""
+    t = _each(tiles, "$.lane_group_attribution", "g").select(_group_id().alias("group_id"), F.explode(get("g", "$.parametric_attribution", "array<variant>")).alias("p"))
+    t = t.select("group_id", "p", F.explode(get("p", "$.lane_group_parametric_attribution", "array<variant>")).alias("a"))
+    r = _range_of("p")
+    return t.select("group_id", r["s0"].alias("s0"), r["s1"].alias("s1"), F.to_json("a").alias("parameter")).where("group_id <> ''")
+
+
 def link_rows(links: DataFrame, lat0: float, lon0: float, h0: float = 0.0) -> DataFrame:
     """link_id, u, v, points: projected to metres around the origin, at most 64 points each; links without both ends are left out."""
     from wayloom.functions.polyline import finite_points, subsample
