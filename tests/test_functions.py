@@ -284,6 +284,30 @@ def test_lane_tiles(spark, tmp_path):
     assert [tuple(r)[:4] + (r.s0, r.s1) for r in tiles.lane_attribute_items(read("a")).collect()] == [("g", 3, "FORWARD", "REGULAR", 0.5, 1.0)]
 
 
+def test_lane_attribution(spark, tmp_path):
+    from wayloom.operators.attributes import lane_attributes
+    from wayloom.sources import tiles
+
+    part = lambda s0, s1, **k: {"applies_to_range": {"start": s0, "end": s1}, **k}
+    lane = lambda *items: part(0.0, 0.5, lane_parametric_attribution=list(items))
+    mark = lambda x: {"lane_boundary_marking": x}
+    group = {"lane_group_ref": "g",
+             "lane_attribution": [{"lane_number": 1, "parametric_attribution": [lane({"direction_of_travel": 4}, {"direction_of_travel": "both", "lane_within_intersection": False})]},
+                                  {"lane_number": "2", "parametric_attribution": [lane({"direction_of_travel": "backward", "lane_type": "HOV"})]}],
+             "lane_boundary_attribution": [
+                 {"lane_boundary_number": 1, "parametric_attribution": [part(0.2, 0.4, lane_boundary_parametric_attribution=[mark({"kind": "SOLID"}), mark(None), {}])]},
+                 {"lane_boundary_number": 2, "parametric_attribution": [], "lane_boundary_point_attribution": [part(0.0, 1.0, lane_boundary_parametric_attribution=mark("DASHED"))]},
+                 {"lane_boundary_number": "x", "parametric_attribution": [part(0.0, 1.0, lane_boundary_parametric_attribution=[mark("LOST")])]}],
+             "parametric_attribution": [part(0.1, 0.9, lane_group_parametric_attribution=[{"speed": 5}, {"speed": 5}])]}
+    (tmp_path / "a.json").write_text(json.dumps({"lane_group_attribution": [group, {"lane_group_ref": "bare"}]}))
+    t = tiles.read_tiles(spark, [str(tmp_path / "a.json")])
+    lanes = {r.lane_no: r for r in lane_attributes(tiles.lane_attribute_items(t)).collect()}
+    assert (lanes[1].directions, lanes[1].in_intersection) == (["BACKWARD", "FORWARD"], True)
+    assert (lanes[2].directions, lanes[2].types, lanes[2].in_intersection) == (["BACKWARD"], ["HOV"], False)
+    assert sorted(map(tuple, tiles.boundary_marking_items(t).collect())) == [("g", 1, 0.2, 0.4, '{"kind":"SOLID"}'), ("g", 2, 0.0, 1.0, '"DASHED"')]
+    assert list(map(tuple, tiles.group_parameter_items(t).collect())) == [("g", 0.1, 0.9, '{"speed":5}')] * 2
+
+
 def test_configurations():
     from wayloom.sources.tiles import is_synthetic, tile_files
 

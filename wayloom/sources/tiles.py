@@ -238,18 +238,21 @@ def lane_topology(tiles: DataFrame) -> DataFrame:
 
 
 def lane_attribute_items(tiles: DataFrame) -> DataFrame:
-    """group_id, lane_no, direction, lane_type, width_profile, in_intersection, s0, s1: one row a parametric item."""
-    from wayloom.operators.attributes import range_of
+    """group_id, lane_no, direction, lane_type, width_profile, in_intersection, s0, s1: one row a parametric item, two for an item of both directions.
 
-    t = _each(tiles, "$.lane_group_attribution", "g").select(_id(F.coalesce(get("g", "$.lane_group_ref.lane_group_id"), get("g", "$.lane_group_ref"))).alias("group_id"), F.explode(get("g", "$.lane_attribution", "array<variant>")).alias("l"))
+    A direction is FORWARD or BACKWARD, or its number (4 for both); others are null. An item is in an intersection if it says anything about it.
+    """
+    t = _each(tiles, "$.lane_group_attribution", "g").select(_group_id().alias("group_id"), F.explode(get("g", "$.lane_attribution", "array<variant>")).alias("l"))
     t = t.select("group_id", get("l", "$.lane_number", "int").alias("lane_no"), F.explode(get("l", "$.parametric_attribution", "array<variant>")).alias("p"))
     a = F.explode_outer(F.coalesce(get("p", "$.lane_parametric_attribution", "array<variant>"), F.array(get("p", "$.lane_parametric_attribution", "variant")))).alias("a")
     t = t.select("group_id", "lane_no", "p", a)
-    word = {"2": "FORWARD", "3": "BACKWARD", "4": "BOTH"}
     raw = F.upper(get("a", "$.direction_of_travel"))
-    direction = reduce(lambda acc, kv: F.when(raw == kv[0], kv[1]).otherwise(acc), word.items(), raw)
-    r = range_of(*[get("p", f"$.applies_to_range.{k}") for k in ("start", "end", "range_offset_from_start", "range_offset_from_end")])
-    return t.select("group_id", "lane_no", direction.alias("direction"), get("a", "$.lane_type").alias("lane_type"), get("a", "$.lane_width_profile").alias("width_profile"), get("a", "$.lane_within_intersection", "boolean").alias("in_intersection"), r["s0"].alias("s0"), r["s1"].alias("s1"))
+    words = (F.when(raw.isin("FORWARD", "2"), F.array(F.lit("FORWARD"))).when(raw.isin("BACKWARD", "3"), F.array(F.lit("BACKWARD")))
+             .when(raw == "4", F.array(F.lit("FORWARD"), F.lit("BACKWARD"))))
+    r = _range_of("p")
+    t = t.select("group_id", "lane_no", "p", "a", F.explode_outer(words).alias("direction"))
+    return t.select("group_id", "lane_no", "direction", get("a", "$.lane_type").alias("lane_type"), get("a", "$.lane_width_profile").alias("width_profile"),
+                    get("a", "$.lane_within_intersection", "variant").isNotNull().alias("in_intersection"), r["s0"].alias("s0"), r["s1"].alias("s1"))
 
 
 def _group_id():
@@ -274,8 +277,8 @@ def boundary_marking_items(tiles: DataFrame) -> DataFrame:
     items = "$.lane_boundary_parametric_attribution"
     t = t.select("group_id", "boundary_no", "p", F.explode(F.coalesce(get("p", items, "array<variant>"), F.array(get("p", items, "variant")))).alias("a"))
     r = _range_of("p")
-    t = t.select("group_id", "boundary_no", r["s0"].alias("s0"), r["s1"].alias("s1"), get("a", "$.lane_boundary_marking").alias("marking"))
-    return t.where("group_id <> '' and boundary_no is not null and marking is not null")
+    t = t.select("group_id", "boundary_no", r["s0"].alias("s0"), r["s1"].alias("s1"), F.to_json(get("a", "$.lane_boundary_marking", "variant")).alias("marking"))
+    return t.where("group_id <> '' and boundary_no is not null and marking <> 'null'")
 
 
 def group_parameter_items(tiles: DataFrame) -> DataFrame:
