@@ -314,13 +314,14 @@ def ngram_scores(docs: DataFrame, prior: float = PRIOR, shard_chars: int = SHARD
             yield _table([b.header()])
 
     asked = docs.mapInArrow(ask, _ASK)
-    answers = scratch.cut(asked.groupBy("shard").applyInArrow(_answer, _ASK), "answers")
+    # as many tasks as shards or blocks, so that none reads more as the corpus grows
+    answers = scratch.cut(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, _ASK), "answers")
     number = lambda c, k: F.sum(F.when(F.col("kind") == k, F.col(c).cast("string").cast("long")))
     n = answers.where("kind in (3, 4)").agg(number("a", 4).alias("total"), number("b", 4).alias("distinct"), number("a", 3).alias("starts")).first()
     total, distinct, starts = n.total or 0, n.distinct or 0, n.starts or 0
     together = answers.where("kind in (1, 2, 5)").unionByName(docs.mapInArrow(heads, _ASK))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = together.groupBy("block").applyInArrow(_scorer(shards, spread, total, distinct, starts, prior), schema)
+    scored = together.repartition(max(4, -(-chars // BLOCK_BYTES)), "block").groupBy("block").applyInArrow(_scorer(shards, spread, total, distinct, starts, prior), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
