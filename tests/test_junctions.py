@@ -192,3 +192,28 @@ def test_range_join_is_the_theta_join(spark):
     for q in {k[0] for k in near}:
         want = sorted((dist(p, byid[q]), p[0]) for p in a if p[0] < 900)[:3]
         assert [near[q, k] for k in (1, 2, 3)] == [w[1] for w in want]
+
+
+def test_document_in_parts_is_the_document(spark, monkeypatch):
+    """Joined, the parts are the JSON object; their rows are its rows, wherever parts end."""
+    import json
+
+    from wayloom.sources import documents
+
+    rows = [(i, i * 10, 1 + i % 2, [k for k in range(7) if (i + k) % 3 == 0 and k != i], [{"x": float(k), "y": i / 2} for k in range(i % 3)]) for i in range(7)]
+    kind = "idx int, link_id long, link_type int, neighbours array<int>, points array<struct<x:double,y:double>>"
+    df = spark.createDataFrame(rows, kind)
+    around = spark.createDataFrame([(r[1] + 1, r[4]) for r in rows], "link_id long, points array<struct<x:double,y:double>>")
+    for items, made, back in ((16_384, df, around), (3, df, around), (1, df, None), (3, df.limit(0), None)):
+        monkeypatch.setattr(documents, "PART_ITEMS", items)
+        parts = documents.graph_document_parts(made, 'c"1', back).cache()
+        text = "".join(r.value for r in sorted(parts.collect(), key=lambda r: (r.field, r.part)))
+        whole = json.loads(documents.graph_document(made, 'c"1', back).first().value)
+        assert json.loads(text) == whole and list(json.loads(text)) == list(whole)
+        got = sorted(documents.graph_rows_of_parts(parts).collect())
+        assert [(r.idx, r.link_id, r.link_type, r.neighbours) for r in got] == [(a, b, c, d) for a, b, c, d, _ in rows][: len(whole["link_ids"])]
+        assert [r.row_offset for r in got] == whole["row_offsets"][:-1] and [r.point_offset for r in got] == whole["point_offsets"][:-1]
+        assert [r.x1 for r in got if r.x1 == r.x1] == [v for v in whole["link_plot_x1"] if v != "NaN"]
+        assert [(r.link_id, r.point_offset) for r in sorted(documents.background_rows_of_parts(parts).collect())] == list(zip(whole["background_link_ids"], whole["background_point_offsets"]))
+        largest = max(len(r.value) for r in parts.where("field >= 0 and part between 0 and 1000000").collect() or [type("r", (), {"value": ""})])
+        assert items > 3 or largest < 60

@@ -209,11 +209,11 @@ def background_links(spark, sf_dir) -> DataFrame:
 
 
 def _graph_document(spark, sf_dir) -> DataFrame:
-    """The fields of the whole graph document, written as text and read again; the classified links' own line is at its points, the background has all links."""
+    """The whole graph document in parts, written as text and read again; the classified links' own line is at its points, the background has all links."""
     links = documents.with_points(fixtures.road_links(spark, sf_dir), fixtures.link_points(fixtures.road_links(spark, sf_dir)))
     scratch = Scratch(spark, "document")
-    made = documents.graph_document(roads.graph_rows(links, scratch), "config", links.select("link_id", "points"), scratch=scratch)
-    return scratch.cut(made.select(F.from_json("value", documents.GRAPH_FIELDS).alias("d")).select("d.*"), "read")
+    made = documents.graph_document_parts(roads.graph_rows(links, scratch), "config", links.select("link_id", "points"), scratch=scratch)
+    return scratch.cut(made, "read")
 
 
 @query(f"""WITH {DUAL}, idx AS (SELECT link_id, link_type, x, y, row_number() OVER (ORDER BY link_id::VARCHAR) - 1 AS idx FROM links WHERE link_type > 0),
@@ -222,19 +222,13 @@ SELECT i.idx::INTEGER AS idx, i.link_id, i.link_type, coalesce(sum(n.degree) OVE
   coalesce(n.neighbours, '') AS neighbours, (2 * i.idx)::INTEGER AS point_offset, i.x AS x0, i.y AS y0, i.x + 60 AS x1, i.y AS y1
 FROM idx i LEFT JOIN near n ON n.src = i.link_id""")
 def graph_document_rows(spark, sf_dir) -> DataFrame:
-    d = _graph_document(spark, sf_dir)
-    at = lambda name, by=F.col("idx"): F.get(name, by)
-    rows = d.select("*", F.posexplode("link_ids").alias("idx", "link_id"))
-    near = F.slice("col_indices", at("row_offsets") + 1, at("row_offsets", F.col("idx") + 1) - at("row_offsets"))
-    return rows.select("idx", "link_id", at("link_type").alias("link_type"), at("row_offsets").alias("row_offset"), F.array_join(F.transform(near, lambda v: v.cast("string")), ",").alias("neighbours"), at("point_offsets").alias("point_offset"),
-                       *[at(f"link_plot_{c}").alias(c) for c in documents.ENDS])
+    rows = documents.graph_rows_of_parts(_graph_document(spark, sf_dir))
+    return rows.withColumn("neighbours", F.array_join(F.transform("neighbours", lambda v: v.cast("string")), ","))
 
 
 @query(f"""WITH {LINKS} SELECT link_id, (2 * (row_number() OVER (ORDER BY link_id) - 1))::INTEGER AS point_offset, x AS x0, y AS y0, x + 60 AS x1, y AS y1 FROM links""")
 def background_document_rows(spark, sf_dir) -> DataFrame:
-    d = _graph_document(spark, sf_dir)
-    rows = d.select("*", F.posexplode("background_link_ids").alias("idx", "link_id"))
-    return rows.select("link_id", F.get("background_point_offsets", F.col("idx")).alias("point_offset"), *[F.get(f"background_plot_{c}", F.col("idx")).alias(c) for c in documents.ENDS])
+    return documents.background_rows_of_parts(_graph_document(spark, sf_dir))
 
 
 @query(f"""WITH {LINKS} SELECT link_id + r * 1000000000000 AS link_id, u + r * 1000000000000 AS u, v + r * 1000000000000 AS v, link_type,

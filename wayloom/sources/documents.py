@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.plans.numbering import running_sum
+from wayloom.plans.numbering import running_sum, running_sums
 from wayloom.plans.scratch import Scratch
 
 GRAPH_SCHEMA, JUNCTION_SCHEMA = "junction_graph_input_v1", "junction_output_v1"
@@ -16,6 +18,10 @@ GRAPH_FIELDS = """schema string, source_config string, link_ids array<bigint>, r
  background_plot_x0 array<double>, background_plot_y0 array<double>, background_plot_x1 array<double>, background_plot_y1 array<double>"""
 _POINTS = "array<struct<x:double,y:double>>"
 ENDS = ("x0", "y0", "x1", "y1")
+#: Items of its rows (the row, its neighbours, its points) after which a part of a document ends; a row is never cut.
+PART_ITEMS = 16_384
+#: Numbers of the parts behind an array's last row: the end of its offsets, and its bracket.
+_TOTAL, _CLOSE = 1 << 62, (1 << 62) + 1
 
 
 def with_points(links: DataFrame, points: DataFrame) -> DataFrame:
@@ -163,6 +169,109 @@ def graph_document(rows: DataFrame, source_config: str, background: DataFrame |
     )).alias("value"))
 
 
+def _text(items):
+    """The items of an array as they stand between its brackets."""
+    text = F.to_json(items)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _array_parts(rows: DataFrame, key: str, fields: list[tuple], scratch: Scratch) -> DataFrame:
+    """field, part, first, value of the arrays of one kind of rows: part k of each holds the items of the same rows.
+
+    fields: (number, kind, column, part of a point): "row" an item a row, "flat" the items of an array column, "before" the number
+    of such items in the rows before. A part begins with a comma unless it begins the array.
+    """
+    arrays = list(dict.fromkeys(c for _, kind, c, _ in fields if kind != "row"))
+    at = {c: f"_at_{c}" for c in arrays}
+    rows = running_sums(rows, [F.col(key)], {"_no": F.lit(1)} | {at[c]: F.size(c) for c in arrays}, scratch)
+    part = F.floor(sum((F.col(a) for a in at.values()), F.col("_no")) / PART_ITEMS)
+    others = [c for c in rows.columns if c != "_no"]
+    v = rows.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("_no", *others))).alias("v"))
+    begin = F.get("v", F.lit(0))
+    made = []
+    for no, kind, c, of in fields:
+        name = at[c] if kind == "before" else c
+        items = _flat("v", c, of) if kind == "flat" else _field("v", name)
+        made.append(F.struct(F.lit(no).alias("field"), (begin[at[c]] if kind == "flat" else begin["_no"]).alias("first"), _text(items).alias("text")))
+    out = v.select("part", F.explode(F.array(*made)).alias("f")).select("f.field", "part", "f.first", F.when((F.col("f.first") > 0) & (F.col("f.text") != ""), F.concat(F.lit(","), "f.text")).otherwise(F.col("f.text")).alias("value"))
+    return scratch.cut(out, f"parts-{key}")
+
+
+def graph_document_parts(rows: DataFrame, source_config: str, background: DataFrame | None = None, ramp_only: bool = True, seconds: float = 0.0, classes: tuple[int, int] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """field, part, first, value: the document of ``graph_document`` (same arguments) in parts that no task has to hold together.
+
+    The values in the order of field and part, joined without anything between, are the document. ``first`` is the position in its array of
+    a part's first item; null for what is not an array's items.
+    """
+    spark = rows.sparkSession
+    scratch = scratch or Scratch(spark, "document")
+    if background is None:
+        background = spark.createDataFrame([], f"link_id long, points {_POINTS}")
+    background = _ended(background).where(~F.isnan("x0") & ~F.isnan("x1")).select("link_id", "points", *ENDS)
+    rows = scratch.cut(_ended(rows.select("idx", "link_id", "link_type", "neighbours", "points", *[c for c in ENDS if c in rows.columns])), "rows")
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("link_type") == 2).alias("second"), F.count_if(F.col("link_type") == 1).alias("prime"), F.coalesce(F.sum(F.size("neighbours")), F.lit(0)).alias("near"), F.coalesce(F.sum(F.size("points")), F.lit(0)).alias("points")).first()  # counts
+    links = _array_parts(rows, "idx", [(FIELDS.index(f), *how) for f, how in _LINK_ARRAYS.items()], scratch)
+    scratch.drop("rows")
+    around = _array_parts(background, "link_id", [(FIELDS.index(f), *how) for f, how in _BACKGROUND_ARRAYS.items()], scratch)
+    b = background.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("points")), F.lit(0)).alias("points")).first()  # counts
+    second, prime = (n.second, n.prime) if classes is None else classes
+    head = {"schema": GRAPH_SCHEMA, "source_config": source_config, "classification": {"ramp_only": ramp_only, "num_secondary_ids": second, "num_primary_ids": prime}, "num_links": n.n}
+    tail = {"num_dual_vertices": n.n, "num_dual_directed_edges": n.near, "num_background_links": b.n, "export_time_s": seconds}
+    frame = [(-1, -1, None, json.dumps(head)[:-1]), (len(FIELDS), -1, None, f', "summary": {json.dumps(tail)}}}')]
+    for no, name in enumerate(FIELDS):
+        frame += [(no, -1, None, f', "{name}": ['), (no, _CLOSE, None, "]")]
+    for name, at, last in (("row_offsets", n.n, n.near), ("point_offsets", n.n, n.points), ("background_point_offsets", b.n, b.points)):
+        frame.append((FIELDS.index(name), _TOTAL, at, f"{',' if at else ''}{last}"))
+    return links.union(around).union(spark.createDataFrame(frame, "field int, part long, first long, value string"))
+
+
+#: How each array of a document is made of its rows (see ``_array_parts``).
+_LINK_ARRAYS = {"link_ids": ("row", "link_id", None), "row_offsets": ("before", "neighbours", None), "col_indices": ("flat", "neighbours", None), "link_type": ("row", "link_type", None), "point_offsets": ("before", "points", None),
+                "point_x": ("flat", "points", "x"), "point_y": ("flat", "points", "y")} | {f"link_plot_{c}": ("row", c, None) for c in ENDS}
+_BACKGROUND_ARRAYS = {"background_link_ids": ("row", "link_id", None), "background_point_offsets": ("before", "points", None), "background_x": ("flat", "points", "x"), "background_y": ("flat", "points", "y")} | {
+    f"background_plot_{c}": ("row", c, None) for c in ENDS}
+FIELDS = [*_LINK_ARRAYS, *_BACKGROUND_ARRAYS]
+
+
+def _items_of_parts(parts: DataFrame, names: list[str]) -> DataFrame:
+    """d, a row for each part: the named arrays' items in it, and ``first_<name>``, where they begin; sizes of a row's arrays that don't fit raise."""
+    p = parts.where(F.col("field").isin(*[FIELDS.index(f) for f in names]) & F.col("part").between(0, _TOTAL - 1))
+    of = lambda c, f: F.max(F.when(F.col("field") == FIELDS.index(f), F.col(c)))
+    p = p.groupBy("part").agg(*[of("value", f).alias(f) for f in names], *[of("first", f).alias(f"first_{f}") for f in names])
+    kinds = {k: v for k, v in (f.split() for f in GRAPH_FIELDS.replace("\n", " ").split(","))}
+    read = [F.from_json(F.concat(F.lit("["), F.ltrim(F.col(f), F.lit(",")), F.lit("]")), kinds[f]).alias(f) for f in names]
+    return p.select(F.struct(*read, *[f"first_{f}" for f in names]).alias("d"))
+
+
+def _rows_of_parts(parts: DataFrame, names: list[str], per_row: list[str], row) -> DataFrame:
+    """The rows of parts: ``row(d, i)`` for row i of a part."""
+    fits = lambda d: F.forall(F.array(*[F.size(d[f]) for f in per_row]), lambda n: n == F.size(d[per_row[0]]))
+    made = lambda d: F.when(F.coalesce(fits(d), F.lit(False)), F.transform(F.sequence(F.lit(0), F.size(d[per_row[0]]) - 1), lambda i: row(d, i))).otherwise(F.raise_error(F.lit("array sizes of a graph document do not fit")))
+    # d is the variable of a loop over one item, so that texts are parsed once and not for each row
+    return _items_of_parts(parts, names).select(F.explode(F.flatten(F.transform(F.array("d"), made))).alias("r")).select("r.*")
+
+
+def graph_rows_of_parts(parts: DataFrame) -> DataFrame:
+    """idx, link_id, link_type, row_offset, neighbours, point_offset, x0, y0, x1, y1 of a document in parts."""
+    per_row = ["link_ids", "link_type", "row_offsets", "point_offsets", *[f"link_plot_{c}" for c in ENDS]]
+
+    def row(d, i):
+        at = F.get(d["row_offsets"], i)
+        end = F.coalesce(F.get(d["row_offsets"], i + 1), d["first_col_indices"] + F.size(d["col_indices"]))
+        near = F.slice(d["col_indices"], (at - d["first_col_indices"] + 1).cast("int"), (end - at).cast("int"))
+        return F.struct((d["first_link_ids"] + i).cast("int").alias("idx"), F.get(d["link_ids"], i).alias("link_id"), F.get(d["link_type"], i).alias("link_type"), at.alias("row_offset"), near.alias("neighbours"),
+                        F.get(d["point_offsets"], i).alias("point_offset"), *[F.get(d[f"link_plot_{c}"], i).alias(c) for c in ENDS])
+
+    return _rows_of_parts(parts, [*per_row, "col_indices"], per_row, row)
+
+
+def background_rows_of_parts(parts: DataFrame) -> DataFrame:
+    """link_id, point_offset, x0, y0, x1, y1 of the background links of a document in parts."""
+    per_row = ["background_link_ids", "background_point_offsets", *[f"background_plot_{c}" for c in ENDS]]
+    row = lambda d, i: F.struct(F.get(d["background_link_ids"], i).alias("link_id"), F.get(d["background_point_offsets"], i).alias("point_offset"), *[F.get(d[f"background_plot_{c}"], i).alias(c) for c in ENDS])
+    return _rows_of_parts(parts, per_row, per_row, row)
+
+
 def plot_lines(rows: DataFrame) -> DataFrame:
     """link_id, points (two: the ends to plot) of rows with x0, y0, x1, y1."""
     end = lambda n: F.struct(F.col("x" + n).alias("x"), F.col("y" + n).alias("y"))
