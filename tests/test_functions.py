@@ -317,3 +317,12 @@ def test_configurations():
     with pytest.raises(ValueError):
         tile_files({})
     assert is_synthetic({"Synthetic": True}) and not is_synthetic({}) and not is_synthetic(None)
+
+
+def test_equal_intervals_are_one_island(spark):
+    """Repeated intervals neither split an island nor join the one before."""
+    from wayloom.operators.attributes import coalesce_intervals
+
+    rows = [(g, a, b) for g in range(200) for a, b in ((0.54, 0.77), (0.97, 1.0), (0.97, 1.2), (0.97, 1.0), (0.18, 0.19))]
+    out = coalesce_intervals(spark.createDataFrame(rows, "g long, s0 double, s1 double").repartition(7), ["g"]).collect()
+    assert sorted(map(tuple, out)) == [(g, a, b) for g in range(200) for a, b in ((0.18, 0.19), (0.54, 0.77), (0.97, 1.0))]
