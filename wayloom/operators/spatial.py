@@ -39,6 +39,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, lx="x", ly="y",
     on = (F.col("_cx") == F.col("_dx")) & (F.col("_cy") == F.col("_dy"))
     for x, y in extra or []:
         on &= F.col(x) == F.col(y)
+    b = b.hint("merge")  # Spark's guess of a side's size leaves out rows that were made of rows, so it would broadcast large ones
     return a.join(b, on).withColumn("dist", distance(lx, ly, rx, ry)).where(F.col("dist") <= radius).drop("_cx", "_cy", "_dx", "_dy")
 
 
