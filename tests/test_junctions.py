@@ -217,3 +217,40 @@ def test_document_in_parts_is_the_document(spark, monkeypatch):
         assert [(r.link_id, r.point_offset) for r in sorted(documents.background_rows_of_parts(parts).collect())] == list(zip(whole["background_link_ids"], whole["background_point_offsets"]))
         largest = max(len(r.value) for r in parts.where("field >= 0 and part between 0 and 1000000").collect() or [type("r", (), {"value": ""})])
         assert items > 3 or largest < 60
+
+
+def test_background_parts_without_the_graph(spark, monkeypatch):
+    """The background's parts are those of the whole document, and its query builds neither the graph nor the arrays of its links."""
+    from wayloom.plans import catalogue, roads
+    from wayloom.sources import documents, fixtures
+
+    kind = "link_id long, points array<struct<x:double,y:double>>"
+    around = spark.createDataFrame([(i, [{"x": float(k), "y": i / 2} for k in range(i % 4)]) for i in range(30)], kind)
+    links = around.limit(0).selectExpr("0 idx", "link_id", "1 link_type", "array(0) neighbours", "points")
+    for items in (16_384, 5, 1):
+        monkeypatch.setattr(documents, "PART_ITEMS", items)
+        whole = documents.graph_document_parts(links, "c", around).where("part between 0 and 1000000")
+        own = documents.background_parts(around, Scratch(spark, "t"))
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, whole.collect())) and own.count() >= 7
+    sf = "/root/testdata/sf0.001"
+    want = documents.with_points(fixtures.road_links(spark, sf), fixtures.link_points(fixtures.road_links(spark, sf)))
+    assert sorted(map(tuple, fixtures.road_lines(spark, sf).collect())) == sorted((r.link_id, r.points) for r in want.collect())
+    monkeypatch.setattr(roads, "graph_rows", lambda *_: 1 / 0)
+    rows = sorted(catalogue.background_document_rows(spark, sf).collect())
+    assert [r.point_offset for r in rows] == [2 * i for i in range(len(rows))] and len(rows) == want.count()
+
+
+def test_rows_of_a_part_wait_packed(spark):
+    """What is gathered to a part is one packed value a row, not the objects of its fields."""
+    from wayloom.sources import documents
+
+    made = []
+
+    class Kept(Scratch):
+        def cut(self, df, name):
+            made.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().cut(df, name)
+
+    df = spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}])], "link_id long, points array<struct<x:double,y:double>>")
+    documents.background_parts(df, Kept(spark, "t"))
+    assert "collect_list(_row#" in made[-1]

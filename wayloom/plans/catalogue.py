@@ -228,7 +228,10 @@ def graph_document_rows(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {LINKS} SELECT link_id, (2 * (row_number() OVER (ORDER BY link_id) - 1))::INTEGER AS point_offset, x AS x0, y AS y0, x + 60 AS x1, y AS y1 FROM links""")
 def background_document_rows(spark, sf_dir) -> DataFrame:
-    return documents.background_rows_of_parts(_graph_document(spark, sf_dir))
+    """The document's background arrays, written as text in parts and read again; its other arrays have no part in them."""
+    scratch = Scratch(spark, "background")
+    lines = scratch.cut(fixtures.road_lines(spark, sf_dir), "lines")
+    return documents.background_rows_of_parts(documents.background_parts(lines, scratch))
 
 
 @query(f"""WITH {LINKS} SELECT link_id + r * 1000000000000 AS link_id, u + r * 1000000000000 AS u, v + r * 1000000000000 AS v, link_type,

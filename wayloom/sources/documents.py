@@ -186,7 +186,9 @@ def _array_parts(rows: DataFrame, key: str, fields: list[tuple], scratch: Scratc
     rows = running_sums(rows, [F.col(key)], {"_no": F.lit(1)} | {at[c]: F.size(c) for c in arrays}, scratch)
     part = F.floor(sum((F.col(a) for a in at.values()), F.col("_no")) / PART_ITEMS)
     others = [c for c in rows.columns if c != "_no"]
-    v = rows.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("_no", *others))).alias("v"))
+    # as a column of its own a row waits in its packed form, a fraction of the objects that collect_list would make of its fields
+    packed = rows.select(part.alias("part"), F.struct("_no", *others).alias("_row"))
+    v = packed.groupBy("part").agg(F.array_sort(F.collect_list("_row")).alias("v"))
     begin = F.get("v", F.lit(0))
     made = []
     for no, kind, c, of in fields:
@@ -197,6 +199,16 @@ def _array_parts(rows: DataFrame, key: str, fields: list[tuple], scratch: Scratc
     return scratch.cut(out, f"parts-{key}")
 
 
+def _with_ends(background: DataFrame) -> DataFrame:
+    """Background links as documents have them: those with ends to plot."""
+    return _ended(background).where(~F.isnan("x0") & ~F.isnan("x1")).select("link_id", "points", *ENDS)
+
+
+def background_parts(background: DataFrame, scratch: Scratch) -> DataFrame:
+    """The parts that ``graph_document_parts`` makes of background links (link_id, points), written; they don't depend on its other arrays."""
+    return _array_parts(_with_ends(background), "link_id", [(FIELDS.index(f), *how) for f, how in _BACKGROUND_ARRAYS.items()], scratch)
+
+
 def graph_document_parts(rows: DataFrame, source_config: str, background: DataFrame | None = None, ramp_only: bool = True, seconds: float = 0.0, classes: tuple[int, int] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """field, part, first, value: the document of ``graph_document`` (same arguments) in parts that no task has to hold together.
 
@@ -207,13 +219,12 @@ def graph_document_parts(rows: DataFrame, source_config: str, background: DataFr
     scratch = scratch or Scratch(spark, "document")
     if background is None:
         background = spark.createDataFrame([], f"link_id long, points {_POINTS}")
-    background = _ended(background).where(~F.isnan("x0") & ~F.isnan("x1")).select("link_id", "points", *ENDS)
     rows = scratch.cut(_ended(rows.select("idx", "link_id", "link_type", "neighbours", "points", *[c for c in ENDS if c in rows.columns])), "rows")
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("link_type") == 2).alias("second"), F.count_if(F.col("link_type") == 1).alias("prime"), F.coalesce(F.sum(F.size("neighbours")), F.lit(0)).alias("near"), F.coalesce(F.sum(F.size("points")), F.lit(0)).alias("points")).first()  # counts
     links = _array_parts(rows, "idx", [(FIELDS.index(f), *how) for f, how in _LINK_ARRAYS.items()], scratch)
     scratch.drop("rows")
-    around = _array_parts(background, "link_id", [(FIELDS.index(f), *how) for f, how in _BACKGROUND_ARRAYS.items()], scratch)
-    b = background.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("points")), F.lit(0)).alias("points")).first()  # counts
+    around = background_parts(background, scratch)
+    b = _with_ends(background).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("points")), F.lit(0)).alias("points")).first()  # counts
     second, prime = (n.second, n.prime) if classes is None else classes
     head = {"schema": GRAPH_SCHEMA, "source_config": source_config, "classification": {"ramp_only": ramp_only, "num_secondary_ids": second, "num_primary_ids": prime}, "num_links": n.n}
     tail = {"num_dual_vertices": n.n, "num_dual_directed_edges": n.near, "num_background_links": b.n, "export_time_s": seconds}
